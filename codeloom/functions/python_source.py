@@ -33,11 +33,16 @@ class _Text:
         return self.cut(node.lineno, node.col_offset, node.end_lineno, node.end_col_offset)
 
 
+# Nodes whose fields are not stored in source order.
+_UNORDERED = (ast.Call, ast.Dict, ast.IfExp, ast.arguments)
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
 def _children(node: ast.AST):
-    found = list(ast.iter_child_nodes(node))
-    # Some fields are not stored in source order; context nodes carry no position.
-    return sorted((c for c in found if not isinstance(c, ast.expr_context)),
-                  key=lambda c: (getattr(c, "lineno", 0), getattr(c, "col_offset", 0)))
+    found = [c for c in ast.iter_child_nodes(node) if not isinstance(c, ast.expr_context)]
+    if isinstance(node, _UNORDERED):
+        found.sort(key=lambda c: (getattr(c, "lineno", 0), getattr(c, "col_offset", 0)))
+    return found
 
 
 def _docstring(node: ast.AST, text: _Text) -> str | None:
@@ -74,18 +79,12 @@ def _bases(node: ast.ClassDef) -> list[str]:
             if isinstance(b, (ast.Name, ast.Attribute))]
 
 
-def _attribute_names(tree: ast.AST):
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Assign):
-            targets = node.targets
-        elif isinstance(node, (ast.AugAssign, ast.AnnAssign)):
-            targets = [node.target]
-        else:
-            continue
-        for t in targets:
-            if (isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name)
-                    and t.value.id in ("self", "cls")):
-                yield t.attr
+def _attribute_names(node: ast.AST):
+    targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+    for t in targets:
+        if (isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name)
+                and t.value.id in ("self", "cls")):
+            yield t.attr
 
 
 def _definition(node, text: _Text, qual: str, owner: str | None) -> dict:
@@ -111,15 +110,21 @@ def _definition(node, text: _Text, qual: str, owner: str | None) -> dict:
         exported=False)
 
 
-def _visit(node: ast.AST, text: _Text, prefix: str, owner: str | None, found: dict) -> None:
-    for child in _children(node):
-        if not isinstance(child, DEFS):
-            _visit(child, text, prefix, owner, found)
-            continue
-        qual = f"{prefix}.{child.name}" if prefix else child.name
-        found.setdefault(qual, _definition(child, text, qual, owner))
-        inner = ast.Module(body=child.body, type_ignores=[])
-        _visit(inner, text, qual, qual if isinstance(child, ast.ClassDef) else None, found)
+def _visit(node: ast.AST, text: _Text, prefix: str, owner: str | None, found: dict,
+           attributes: set[str]) -> None:
+    """Definitions and attribute assignments sit in statement blocks only."""
+    for block in _BLOCKS:
+        for child in getattr(node, block, ()):
+            if isinstance(child, DEFS):
+                qual = f"{prefix}.{child.name}" if prefix else child.name
+                if qual not in found:
+                    found[qual] = _definition(child, text, qual, owner)
+                _visit(child, text, qual, qual if isinstance(child, ast.ClassDef) else None,
+                       found, attributes)
+            else:
+                if isinstance(child, (ast.Assign, ast.AugAssign, ast.AnnAssign)):
+                    attributes.update(_attribute_names(child))
+                _visit(child, text, prefix, owner, found, attributes)
 
 
 def _tree(data: bytes) -> tuple[ast.Module, bool]:
@@ -152,11 +157,10 @@ def read_python(content: bytes, module: str, path: str) -> dict:
     data = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
     try:
         tree, partial = _tree(data)
-        text, found = _Text(data), {}
-        _visit(tree, text, module, None, found)
-        attributes = sorted(set(_attribute_names(tree)))
+        text, found, attributes = _Text(data), {}, set()
+        _visit(tree, text, module, None, found, attributes)
     except RecursionError:
         return {"defs": [], "attributes": [], "error": f"{path}: {PARTIAL}"}
     defs = [{**d, "pos": i} for i, d in enumerate(found.values())]
-    return {"defs": defs, "attributes": attributes,
+    return {"defs": defs, "attributes": sorted(attributes),
             "error": f"{path}: {PARTIAL}" if partial else None}

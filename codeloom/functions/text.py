@@ -154,7 +154,7 @@ def without_prompt(c: str | Column) -> Column:
 
 def quote_pattern(c: str | Column) -> Column:
     """A text as a literal inside a regular expression."""
-    return F.regexp_replace(col(c), r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")
+    return F.regexp_replace(col(c), r"([\\.^$|?*+()\[\]{}\-])", r"\\\\$1")
 
 
 def module_file(c: str | Column) -> Column:

@@ -47,9 +47,9 @@ def find_examples(wanted: DataFrame, test_symbols: DataFrame,
     plain = met.where("uses = word").select("uses", *key, "line_count", "direct")
     odd = (met.where("uses <> word").select("uses", *key, "line_count")
            .join(tests.select(*key, "source"), key)
-           .where(F.col("source").rlike(mention_shape("uses")))
+           .where(F.rlike("source", mention_shape("uses")))
            .select("uses", *key, "line_count",
-                   F.col("source").rlike(call_shape("uses")).alias("direct")))
+                   F.rlike("source", call_shape("uses")).alias("direct")))
     rank = F.row_number().over(W.partitionBy("repo", "uses").orderBy(
         F.desc("direct"), F.asc("line_count"), F.asc("qualname")))
     best = plain.unionByName(odd).withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -5,58 +5,62 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed, text
 from ..functions.python_source import read_python
 from ..functions.script_source import read_script
 from ..schemas import PARSED
-from ..session import ordinal
+from ..session import ordinal, spread
 
 
 def language(path: str | Column) -> Column:
-    """Language by file suffix, null when none owns it."""
-    ending, out = text.suffix(path), F.lit(None).cast("string")
+    """Language by file suffix, null when none owns it. A bare dot name has no suffix."""
+    path, out = text.col(path), None
     for name, (extensions, _) in fixed.LANGUAGES.items():
-        out = F.when(ending.isin(*extensions), name).otherwise(out)
+        owned = path.rlike("[^/](?:" + "|".join(e.replace(".", "[.]") for e in extensions) + ")$")
+        out = F.when(owned, name) if out is None else out.when(owned, name)
     return out
 
 
 def module_qualname(path: str | Column) -> Column:
     """`src/pkg/app.py` is `pkg.app`; `src/pkg/index.ts` is `pkg`."""
     path = text.col(path)
-    parts = F.split(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), "/")
-    strips = F.when(language(path) == "python", F.array(F.lit("src"), F.lit("lib"))) \
-              .otherwise(F.array(F.lit("src"), F.lit("lib"), F.lit("dist")))
-    # Position of the first part that is not a stripped folder; 0 when all are.
-    first = F.coalesce(F.array_min(F.filter(F.transform(
-        parts, lambda p, i: F.when(F.array_contains(strips, p), None).otherwise(i + 1)),
-        lambda i: i.isNotNull())), F.lit(0))
-    kept = F.when(first == 0, F.array().cast("array<string>")) \
-            .otherwise(F.slice(parts, F.greatest(first, F.lit(1)), F.size(parts)))
-    entry = F.try_element_at(kept, F.lit(-1)).isin("__init__", "index")
-    return F.array_join(F.when(F.coalesce(entry, F.lit(False)),
-                               F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept), ".")
-
-
-@F.pandas_udf(PARSED)
-def _parse(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for content, module, path, lang in batches:
+    bare = F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", "")
+    inside = F.when(path.endswith(".py"), F.regexp_replace(bare, "^(?:(?:src|lib)(?:/|$))+", "")) \
+              .otherwise(F.regexp_replace(bare, "^(?:(?:src|lib|dist)(?:/|$))+", ""))
+    return F.replace(F.regexp_replace(inside, "(?:^|/)(?:__init__|index)$", ""),
+                     F.lit("/"), F.lit("."))
+
+
+@F.arrow_udf(PARSED)
+def _parse(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    shape = to_arrow_type(PARSED)
+    for batch in batches:
         rows = []
-        for data, mod, rel, kind in zip(content, module, path, lang):
+        for data, mod, rel, kind in zip(*(column.to_pylist() for column in batch)):
             if data is None:
                 rows.append({"defs": [], "attributes": [], "error": f"{rel}: cannot be read"})
             else:
                 read = read_python if kind == "python" else read_script
-                rows.append(read(bytes(data), mod, rel))
-        yield pd.DataFrame(rows, columns=["defs", "attributes", "error"])
+                rows.append(read(data, mod, rel))
+        yield pa.array(rows, shape)
+
+
+# Not duplicated by the optimizer into filters on its own result.
+_parse = _parse.asNondeterministic()
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """One row per source file: (repo, file, parsed). Unknown languages are dropped first."""
-    known = files.where(language("path").isNotNull())
+    """One row per source file: (repo, file, parsed). Unknown languages are dropped first.
+
+    Parsing costs far more than reading, so an input with fewer partitions than
+    there are cores is spread first; a big input is parsed where it is read.
+    """
+    known = spread(files.where(language("path").isNotNull()))
     return known.select("repo", F.col("path").alias("file"), _parse(
         F.col("content"), module_qualname("path"), F.col("path"), language("path")).alias("parsed"))
 

@@ -69,16 +69,17 @@ def catalog_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.col("qualname").alias("caller"), "file",
         F.regexp_extract("name", "[a-z]+", 0).alias("adj"),
         F.regexp_extract("file", "([a-z]+)[.]py$", 1).alias("noun"))
-    simple = F.when(F.col("l_quantity") == 50, "append").otherwise(
+    simple = F.when(F.col("plain"), "append").otherwise(
         F.concat_ws("_", "adj", F.floor(F.col("o_custkey") / 3).cast("string")))
     called = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("self."), simple)) \
               .when(F.col("l_returnflag") == "A", F.concat_ws(".", "noun", simple)) \
               .otherwise(simple)
     # Equal calls of one part are counted before the part's own columns are joined.
     counted = (line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-               .withColumn("o_custkey", F.when(F.col("l_quantity") == 50, F.lit(0))
+               .withColumn("plain", F.col("l_quantity") == 50)
+               .withColumn("o_custkey", F.when(F.col("plain"), F.lit(0))
                            .otherwise(F.floor(F.col("o_custkey") / 3) * 3))
-               .groupBy("l_partkey", "l_quantity", "l_returnflag", "o_custkey")
+               .groupBy("l_partkey", "plain", "l_returnflag", "o_custkey")
                .agg(F.count("*").alias("n"),
                     F.min(ordinal("l_orderkey", "l_linenumber")).alias("at")))
     return (counted.join(caller, F.col("l_partkey") == F.col("p_partkey"))

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def build_session(app: str = "codeloom", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
     b = (SparkSession.builder.appName(app)
@@ -43,6 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame that has fewer partitions than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 def ordinal(*cols: str | Column) -> Column:
     """Comparable position key: structs compare field by field."""
     return F.struct(*cols)
