@@ -5,3 +5,10 @@ of repositories; a single repository is the corpus with one ``repo`` value.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: functions that run in tasks travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
