@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fixed, text
-from ..session import cut_lineage, ordinal
+from ..session import as_table, cut_lineage, ordinal
 from .symbols import (Analysis, attribute_names, definitions, exported_names, parse_errors,
                       parse_files, unique_symbols)
 
@@ -191,11 +191,11 @@ def short_names(c: Column) -> Column:
 def analyze_files(files: DataFrame) -> Analysis:
     """Whole corpus: parse, settle duplicates, resolve calls, build the graph.
 
-    Files are parsed once: the parse result is cut off here because five
-    relations read it.
+    Files are parsed once: the result becomes a table because five relations
+    read it, each a few columns.
     """
-    parsed = cut_lineage(parse_files(files))
-    symbols = cut_lineage(unique_symbols(definitions(parsed)))
+    parsed = as_table(parse_files(files))
+    symbols = as_table(unique_symbols(definitions(parsed)))
     resolved = cut_lineage(resolve_calls(call_sites(symbols), symbols))
     return Analysis(files=files, symbols=symbols, edges=call_edges(resolved),
                     unresolved=unresolved_calls(resolved),

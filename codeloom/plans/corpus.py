@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import ordinal
+from ..session import ordinal, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,8 @@ def catalog_exports(symbols: DataFrame) -> DataFrame:
 
 def catalog_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites: the part of each line calls a name picked by the order's customer."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linenumber")
+    line = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linenumber"))
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     caller = catalog_symbols(spark, sf_dir).select(
         "p_partkey", F.col("qualname").alias("caller"), "file",

@@ -507,3 +507,68 @@ def dedupe_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(1).alias("start_line"), F.col("d.line_count").alias("end_line")))
     return unique_symbols(one).select("qualname", "file", F.col("line_count").cast("int")
                                       .alias("line_count"), F.col("ord.file").alias("first_file"))
+
+
+# ---- written text --------------------------------------------------------------------------------
+
+def _described(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    from ..operators.generation import FactCompleter, describe_symbols
+    notes = _notes(spark, sf_dir, edges)
+    return describe_symbols(notes, _symbols(spark, sf_dir), edges, FactCompleter())
+
+
+@query(f"WITH {SCORED} SELECT qualname, coalesce(docstring, CASE WHEN t = '' THEN name ELSE "
+       "upper(substr(t, 1, 1)) || substr(t, 2) END || ' as written in ' || file) AS purpose, "
+       "'high' AS confidence FROM (SELECT *, replace(trim(name, '_'), '_', ' ') AS t FROM note)")
+def describe_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked notes worded by the offline completer, through the same JSON replies as a model's."""
+    e = cut_lineage(_edges(spark, sf_dir))
+    return _described(spark, sf_dir, e).select("qualname", "purpose", "confidence")
+
+
+@query(f"WITH {SCORED} SELECT string_agg('| `' || name || '` | ' || kind || ' | ' || role || ' | `' || "
+       "file || ':' || start_line || '` | ' || coalesce(docstring, upper(substr(t, 1, 1)) || substr(t, 2) "
+       "|| ' as written in ' || file) || ' |', chr(10) ORDER BY rank) AS body FROM (SELECT *, "
+       "replace(trim(name, '_'), '_', ' ') AS t FROM note)")
+def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .render import symbol_table as table
+    e = cut_lineage(_edges(spark, sf_dir))
+    head = "| Symbol | Kind | Role | Location | Purpose |\n| --- | --- | --- | --- | --- |\n"
+    return table(_described(spark, sf_dir, e)).select(F.replace("body", F.lit(head), F.lit(""))
+                                                      .alias("body"))
+
+
+@query(f"WITH {EDGE}{FILES}, top AS (SELECT a, b, n, row_number() OVER (ORDER BY n DESC, ord) AS "
+       "rank FROM pair QUALIFY rank <= 18) SELECT '```mermaid' || chr(10) || 'graph LR' || chr(10) || "
+       "string_agg('    n_' || regexp_replace(a, '[^0-9a-zA-Z]', '_', 'g') || '[\"' || "
+       "split_part(a, '/', 3) || '\"] -->|' || n || '| n_' || regexp_replace(b, '[^0-9a-zA-Z]', '_', 'g') "
+       "|| '[\"' || split_part(b, '/', 3) || '\"]', chr(10) ORDER BY rank) || chr(10) || '```' AS body "
+       "FROM top")
+def module_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .render import module_diagram as draw
+    listed = cut_lineage(modules.module_edges(_edges(spark, sf_dir), _symbols(spark, sf_dir)))
+    return draw(listed).select("body")
+
+
+@query(f"""WITH {SCORED}, comp AS (SELECT file, row_number() OVER (ORDER BY count(*) DESC, min(rank)) AS r
+  FROM note GROUP BY file QUALIFY r <= 6)
+SELECT 'overview' AS key, true AS passed, 0 AS errors UNION ALL SELECT 'reading-order', true, 0
+UNION ALL SELECT 'component:' || file, true, 0 FROM comp""")
+def reviewed_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map, write and review the catalog: the offline text must stand up to its own check."""
+    from ..operators.generation import FactCompleter
+    from ..operators.symbols import Analysis
+    from . import document
+    sym = _symbols(spark, sf_dir).withColumn("calls", F.lit(None))
+    resolved = cut_lineage(_resolved(spark, sf_dir))
+    edges = cut_lineage(callgraph.call_edges(resolved))
+    none = spark.createDataFrame([], "repo string, name string")
+    st = document.State(files=none)
+    st.analysis = Analysis(files=none, symbols=sym, edges=edges, attributes=none, errors=none,
+                           unresolved=callgraph.unresolved_calls(resolved),
+                           exports=corpus.catalog_exports(sym))
+    completer = FactCompleter()
+    document.stage_map(st, completer, 20)
+    document.stage_write(st, completer)
+    document.stage_review(st, completer)
+    return st.reviews.select("key", "passed", F.col("errors").cast("int").alias("errors"))

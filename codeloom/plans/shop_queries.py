@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import callgraph, claims, examples, ranking, reviews, symbols
-from ..session import cut_lineage, ordinal
+from ..session import as_table, cut_lineage, ordinal
 from . import corpus
 from .registry import query
 
@@ -63,7 +63,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _defs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.unique_symbols(symbols.definitions(symbols.parse_files(_files(spark, sf_dir))))
+    parsed = as_table(symbols.parse_files(_files(spark, sf_dir)))
+    return symbols.unique_symbols(symbols.definitions(parsed))
 
 
 def _listed(c: str) -> F.Column:
@@ -329,3 +330,12 @@ def example_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("shop.place_order").alias("name"))
     return examples.find_examples(wanted, _tests(spark, sf_dir)).select(
         "repo", "uses", F.col("rank").cast("long").alias("rank"), "name")
+
+
+@query("SELECT 'c' || c_custkey AS repo, unnest(['Root', 'Base']) AS name, unnest(['class Root:', "
+       "'class Base(Root):']) AS head FROM customer UNION ALL SELECT 'c' || o_custkey, 'Order' || "
+       "o_orderkey, 'class Order' || o_orderkey || '(Base):' FROM orders")
+def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a class is embedded as: its header."""
+    from ..operators.retrieval import class_summary as head
+    return _defs(spark, sf_dir).where("kind = 'class'").select("repo", "name", head().alias("head"))

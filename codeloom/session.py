@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def as_table(df: DataFrame) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back.
+
+    Cuts lineage like a checkpoint; later reads take only the columns they need,
+    which matters for relations that carry source text.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a frame that has fewer partitions than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
