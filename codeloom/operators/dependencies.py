@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .retrieval import pair_similarity
+from .retrieval import pair_dot, pair_similarity
 
 
 def current_packages(packages: DataFrame) -> DataFrame:
@@ -46,11 +46,15 @@ def judge_alternatives(deps: DataFrame, proposals: DataFrame, packages: DataFram
     builds = F.coalesce(F.array_contains("requires", F.col("dependency")), F.lit(False)) \
         | F.coalesce("also_dependency", F.lit(False))
     dead = F.coalesce(F.col("summary").rlike(fixed.DEAD_SUMMARY), F.lit(False))
+    # A small negative number keeps its sign when it is printed.
+    number = F.format_number("relevance", 2)
+    number = F.when((pair_dot("dep_embedding", "embedding") < 0) & (number == "0.00"), "-0.00") \
+        .otherwise(number)
     reason = (F.when(F.col("found").isNull(), F.lit("not on PyPI"))
               .when(builds, F.concat(F.lit("builds on "), "dependency"))
               .when(dead, F.lit("its own PyPI page says not to use it"))
               .when(both & (F.col("relevance") < fixed.MIN_RELEVANCE), F.concat(
-                  F.lit("does something else, "), F.format_number("relevance", 2))))
+                  F.lit("does something else, "), number)))
     judged = j.withColumn("relevance", relevance)
     return judged.select("repo", "dependency", "ord", "candidate",
                          F.when(reason.isNull(), F.col("relevance")).otherwise(0.0)
