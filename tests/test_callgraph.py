@@ -85,7 +85,7 @@ def test_last_file_wins_at_the_first_place(make_files):
 
 
 def test_module_names(spark):
-    want = {"src/flask/app.py": "flask.app", "src/cord/index.ts": "cord", "lib.py": "",
+    want = {"src/shop/app.py": "shop.app", "src/cart/index.ts": "cart", "lib.py": "",
             "dist/a.py": "dist.a", "dist/a.js": "a", "pkg/__init__.py": "pkg", "lib/src/x.py": "x",
             "index.ts": ""}
     df = spark.createDataFrame([(p,) for p in want], "path string")
