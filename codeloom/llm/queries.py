@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .pii import as_text, find_pii
+from .simhash_dedup import as_hex, simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +69,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
                       F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("pii")).alias("spans"))
+
+
+@query()
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
