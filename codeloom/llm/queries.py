@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held_out
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .pii import as_text, find_pii
 from .simhash_dedup import as_hex, simhash_components
+from .toxicity import THRESHOLD as TOXIC
+from .toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +78,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
+                                             F.col("toxicity.score").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
