@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
+from .packing import pack_documents
 from .pii import as_text, find_pii
 from .simhash_dedup import as_hex, simhash_components
 from .toxicity import THRESHOLD as TOXIC
 from .toxicity import fit_toxicity, score_toxicity
 
+#: The folder of the public tokenizer files is a parameter of the operators; this is the box's.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +92,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
                                              F.col("toxicity.score").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
