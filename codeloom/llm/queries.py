@@ -14,8 +14,10 @@ from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .pii import as_text, find_pii
 from .simhash_dedup import as_hex, simhash_components
+from .topk import exact_top_k
 from .toxicity import THRESHOLD as TOXIC
 from .toxicity import fit_toxicity, score_toxicity
+from .url_rules import judge_urls, rules_from
 
 #: The folder of the public tokenizer files is a parameter of the operators; this is the box's.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -98,3 +100,35 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json")
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+@query("""
+WITH r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+q AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, translate(
+        regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+        AS host FROM p),
+m AS (SELECT page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+             max_by(verdict, length(r.host || r.path)) AS verdict
+      FROM q JOIN r ON (q.host = r.host OR ends_with(q.host, '.' || r.host)) AND starts_with(q.path, r.path)
+      GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN m USING (page_id)""")
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules_from(spark, _RULES))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT)
+        AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
