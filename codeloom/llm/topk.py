@@ -121,7 +121,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str =
     size = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm")).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
     cells = int(max(1, -(-size.n // CELL), min(2 * cores, size.n // 1024)))
-    bound = F.least(F.ceil(F.sqrt(square) * float(size.norm or 0) * 1.001) + 1, F.lit(LARGEST))
+    bound = F.ceil(F.least(F.sqrt(square) * float(size.norm or 0) * 1.001 + 1, F.lit(float(LARGEST))))
     states = as_table(asked.select("query_id", "q.dim", "q.v").withColumns(
         {"lo": -bound, "hi": bound, "need": F.lit(k).cast("long")}))
     blocks = int(max(1, -(-states.count() // BLOCK)))
