@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .pii import as_text, find_pii
+from .quality import fit_quality, score_quality
 from .simhash_dedup import as_hex, simhash_components
 from .topk import exact_top_k
 from .toxicity import THRESHOLD as TOXIC
@@ -132,3 +133,12 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
