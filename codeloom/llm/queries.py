@@ -12,6 +12,7 @@ from .common import held_out
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .pieces import decode_documents, encode_documents
 from .pii import as_text, find_pii
 from .quality import fit_quality, score_quality
 from .simhash_dedup import as_hex, simhash_components
@@ -142,3 +143,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_quality(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece counts, ids and the digest of what they decode to, beside the digest of the text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    file = f"{TOKENIZERS}/piece_bpe_32k.model"
+    decoded = decode_documents(encode_documents(docs, file), file)
+    return decoded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"),
+                          F.sha2("text", 256).alias("decoded_sha256"))

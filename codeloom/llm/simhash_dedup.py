@@ -264,5 +264,24 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 4) -> DataFrame:
+    """The documents with the smallest doc_id of their component, with all their columns.
+
+    Rows that repeat an id are one document if their texts are equal, and one row of them stays. Documents
+    without an id stay if nothing in their component has one.
+    """
+    found = as_table(simhash_components(docs, doc_id, text, budget))
+    stay = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__stay"))
+            .agg(F.count("*").alias("__rows")))
+
+    def among(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs[f"`{doc_id}`"].cast("long").eqNullSafe(ids["__stay"]), "left_semi")
+
+    repeated = stay.where(F.col("__rows") > 1)
+    if repeated.isEmpty():
+        return among(stay)
+    return among(stay.where(F.col("__rows") == 1)).union(among(repeated).dropDuplicates([doc_id, text]))
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
