@@ -162,15 +162,25 @@ def _features(found: list[tuple[str, int, int]]) -> list[float]:
 
 
 def _prefixes(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stems (word beginnings, and whole words with a space after) of each labelled text, once a text."""
+    """(stem, word before it, toxic) of each labelled text, a stem once a text, at its first place.
+
+    Stems are word beginnings, and whole words with a space after them.
+    """
     def rows() -> Iterator[tuple]:
         for batch in incoming:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = set(_WORD.findall(text.as_py().lower()))
-                stems = {w[:n] for w in words for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1)}
-                for s in stems | {w + " " for w in words if len(w) >= MIN_STEM}:
-                    yield s, toxic
-    yield from batches(pa.schema([("stem", pa.string()), ("toxic", pa.int64())]), rows(), 1 << 16)
+                first: dict[str, str] = {}
+                before = ""
+                for w in _WORD.findall(text.as_py().lower()):
+                    if len(w) >= MIN_STEM and w + " " not in first:
+                        first[w + " "] = before
+                        for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1):
+                            first.setdefault(w[:n], before)
+                    before = w
+                for stem, context in first.items():
+                    yield stem, context, toxic
+    yield from batches(pa.schema([("stem", pa.string()), ("context", pa.string()), ("toxic", pa.int64())]),
+                       rows(), 1 << 16)
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -182,9 +192,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
 
 
 def _least_support(spread: list[tuple[int, int, int]]) -> int:
-    """Texts a stem must be found in so that chance alone would hardly give one such stem.
+    """Sightings a stem needs so that chance alone would hardly give one such stem.
 
-    spread: (texts a stem is in, number of such stems, toxic texts among them summed up).
+    spread: (sightings of a stem, number of such stems, toxic sightings of them summed up).
     """
     rate = min(0.5, max(1e-3, sum(k for _, _, k in spread) / max(1, sum(n * m for n, m, _ in spread))))
     for least in range(4, 1000):
@@ -230,8 +240,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     n = {r.toxic: r["count"] for r in counts}
     if not n.get(0) or not n.get(1):
         return ToxicityModel()
-    stems = as_table(rows.mapInArrow(_prefixes, "stem string, toxic bigint").groupBy("stem")
-                     .agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where("n >= 4"))
+    # Copies of one text put a stem after the same word: they count as one sighting.
+    sightings = (rows.mapInArrow(_prefixes, "stem string, context string, toxic bigint")
+                 .groupBy("stem", "context").agg(F.min("toxic").alias("toxic")))
+    stems = as_table(sightings.groupBy("stem").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
+                     .where("n >= 4"))
     spread = stems.groupBy("n").agg(F.count("*").alias("m"), F.sum("k").alias("k")).collect()  # n <= sample
     least = _least_support([(r.n, r.m, r.k) for r in spread])
     best = (stems.where((F.col("k") >= least) & (F.col("k") >= 0.95 * F.col("n")))
