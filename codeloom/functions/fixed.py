@@ -64,3 +64,4 @@ DEAD_SUMMARY = (r"(?i)\b(deprecated|no longer maintained|unmaintained|abandoned|
 INSTALL_LINE = r"^(pip|pip3|python -m pip|uv|poetry|pipenv|conda)\s+(install|add|sync)\b"
 MAIN_GUARD = r"(?m)^if\s+__name__\s*==\s*[\"']__main__[\"']"
 RUN_SCRIPTS = ("start", "dev", "build", "test")
+READING_STEPS = 6

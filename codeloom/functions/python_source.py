@@ -13,6 +13,7 @@ DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 PARTIAL = "syntax errors (partial parse)"
 _QUOTED = re.compile(r"^[a-zA-Z]{0,2}(\"\"\"|'''|\"|')(.*)\1$", re.S)
 _TOP_LEVEL = re.compile(rb"^(?=[A-Za-z@_])", re.M)
+_CLASS_HEAD = re.compile(rb"^class\b[^\n]*?(?:\([^)]*\))?\s*:[ \t]*(?:#[^\n]*)?\n", re.M)
 
 
 class _Text:
@@ -127,27 +128,59 @@ def _visit(node: ast.AST, text: _Text, prefix: str, owner: str | None, found: di
                 _visit(child, text, prefix, owner, found, attributes)
 
 
+def _blocks(data: bytes, starts: list[int]) -> list[tuple[int, bytes]]:
+    """(offset, text) of the blocks that begin at starts; decorator lines go with what follows."""
+    out: list[tuple[int, bytes]] = []
+    open_decorators = False
+    for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
+        if open_decorators:
+            out[-1] = (out[-1][0], out[-1][1] + data[a:b])
+        else:
+            out.append((a, data[a:b]))
+        open_decorators = data[a:b].lstrip().startswith(b"@")
+    return out
+
+
+def _class_in_parts(block: bytes) -> ast.stmt | None:
+    """A class with what parses of its members, when the whole of it does not."""
+    head = _CLASS_HEAD.search(block)
+    inside = head and re.match(rb"(?:[ \t]*(?:#[^\n]*)?\n)*([ \t]+)\S", block[head.end():])
+    if not inside:
+        return None
+    indent = inside.group(1)
+    member = re.compile(rb"^" + re.escape(indent) + rb"(?=[^\s#)\]}])", re.M)
+    starts = [m.start() for m in member.finditer(block, head.end())]
+    top, whole = block[:head.end()], None
+    for at, part in _blocks(block, starts):
+        lines = block.count(b"\n", head.end(), at)
+        try:
+            node = ast.parse(top + b"\n" * lines + part).body[0]
+        except (SyntaxError, ValueError, IndexError):
+            continue
+        if whole is None:
+            whole = node
+        else:
+            whole.body += node.body
+            whole.end_lineno, whole.end_col_offset = node.end_lineno, node.end_col_offset
+    return whole
+
+
 def _tree(data: bytes) -> tuple[ast.Module, bool]:
-    """The module, or what is left of it when a top-level block does not parse."""
+    """The module, or what is left of it: blocks that parse, and classes without bad members."""
     try:
         return ast.parse(data), False
     except (SyntaxError, ValueError):
         kept: list[ast.stmt] = []
         starts = [m.start() for m in _TOP_LEVEL.finditer(data)] or [0]
-        blocks = [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
-        i = 0
-        while i < len(blocks):
-            # A decorator line belongs to the block below it.
-            block, j = blocks[i], i + 1
-            while block.startswith(b"@") and j < len(blocks) and blocks[j - 1].startswith(b"@"):
-                block, j = block + blocks[j], j + 1
+        for at, block in _blocks(data, starts):
             try:
-                part = ast.parse(block)
-                ast.increment_lineno(part, data.count(b"\n", 0, starts[i]))
-                kept += part.body
+                body = ast.parse(block).body
             except (SyntaxError, ValueError):
-                pass
-            i = j
+                found = _class_in_parts(block)
+                body = [found] if found else []
+            for node in body:
+                ast.increment_lineno(node, data.count(b"\n", 0, at))
+            kept += body
         return ast.Module(body=kept, type_ignores=[]), True
 
 

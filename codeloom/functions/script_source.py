@@ -11,11 +11,18 @@ from bisect import bisect_right
 
 _TOKEN = re.compile(
     r"(?P<comment>/\*.*?\*/|//[^\n]*)"
-    r"|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"
-    r"|(?P<name>(?:[^\W\d]|\$)[\w$]*)"
+    r"|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')"
+    r"|(?P<name>(?:[^\W\d]|\$(?!\{))(?:[\w]|\$(?!\{))*)"
     r"|(?P<number>\d[\w.]*)"
-    r"|(?P<op>=>|\?\.|\.\.\.|[-+*/%<>=!&|^?:;,.(){}\[\]~@#])", re.S)
-_PAIRS = {"(": ")", "{": "}", "[": "]"}
+    r"|(?P<op>=>|\?\.|\.\.\.|[-+*/%<>=!&|^?:;,.(){}\[\]~@#`])", re.S)
+_REGEX = re.compile(r"/(?![*/>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_QUASI = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(?:`|\$\{|\Z)", re.S)
+# A hole in a template is a bracket of its own kind, so that it is never taken for a body.
+_PAIRS = {"(": ")", "{": "}", "[": "]", "${": "}$"}
+_CLOSERS = frozenset(_PAIRS.values())
+# After these words a slash begins a pattern, after any other word it divides.
+_BEFORE_VALUE = frozenset("return typeof case in of do else void delete throw new instanceof await "
+                          "yield".split())
 # Words that can stand before "(" without being a call or a method name.
 _WORDS = frozenset("if for while switch catch with return typeof await yield super import "
                    "function do else new delete void in of case throw constructor_".split())
@@ -23,29 +30,86 @@ _MODIFIERS = frozenset("async static get set public private protected readonly o
                        "abstract declare accessor".split())
 
 
+def _tokens(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of each token; templates are scanned into their holes."""
+    out: list[tuple[str, str, int, int]] = []
+    holes: list[int] = []  # open braces inside each template hole that is being read
+    at, last = 0, ("op", "")
+
+    def quasi(start: int) -> int:
+        """A template's characters up to its end or its next hole."""
+        m = _QUASI.match(text, start)
+        out.append(("string", m.group(), start, m.end()))
+        if m.group().endswith("${"):
+            out.append(("op", "${", m.end() - 2, m.end()))
+            holes.append(0)
+        return m.end()
+
+    while m := _TOKEN.search(text, at):
+        kind, tok, start, at = m.lastgroup, m.group(), m.start(), m.end()
+        if tok == "`":
+            at = quasi(at)
+        elif tok == "}" and holes and not holes[-1]:
+            holes.pop()
+            out.append(("op", "}$", start, at))
+            at = quasi(at)
+        else:
+            begins = last[0] == "op" and last[1] not in (")", "]", "<") \
+                or last[0] == "name" and last[1] in _BEFORE_VALUE
+            if tok == "/" and begins and (pattern := _REGEX.match(text, start)):
+                kind, tok, at = "string", pattern.group(), pattern.end()
+            elif kind == "op" and holes:
+                holes[-1] += (tok == "{") - (tok == "}")
+            out.append((kind, tok, start, at))
+        if out and out[-1][0] != "comment":
+            last = out[-1][:2]
+    return out
+
+
 class _Scan:
-    def __init__(self, text: str):
-        self.text = text
-        raw = list(_TOKEN.finditer(text))
-        self.comments = {m.end(): m.group() for m in raw if m.lastgroup == "comment"}
-        toks = [m for m in raw if m.lastgroup != "comment"]
-        self.kind = [m.lastgroup for m in toks]
-        self.tok = [m.group() for m in toks]
-        self.at = [m.start() for m in toks]
-        self.end = [m.end() for m in toks]
-        self.pair, stack = {}, []
+    def __init__(self, text: str, typed: bool = True):
+        self.text, self.typed = text, typed
+        raw = _tokens(text)
+        self.comments = {end: tok for kind, tok, _, end in raw if kind == "comment"}
+        toks = [t for t in raw if t[0] != "comment"]
+        self.kind = [t[0] for t in toks]
+        self.tok = [t[1] for t in toks]
+        self.at = [t[2] for t in toks]
+        self.end = [t[3] for t in toks]
+        self.pair, stack, self.broken = {}, [], False
         for i, t in enumerate(self.tok):
             if self.kind[i] != "op":
                 continue
             if t in _PAIRS:
                 stack.append(i)
-            elif t in _PAIRS.values() and stack and _PAIRS[self.tok[stack[-1]]] == t:
-                o = stack.pop()
-                self.pair[o], self.pair[i] = i, o
-        self.broken = bool(stack)
+            elif t in _CLOSERS:
+                if stack and _PAIRS[self.tok[stack[-1]]] == t:
+                    o = stack.pop()
+                    self.pair[o], self.pair[i] = i, o
+                else:
+                    self.broken = True
+        self.broken |= bool(stack)
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.comment_ends = sorted(self.comments)
 
+    def past_types(self, i: int) -> int:
+        """The token after type arguments or parameters that begin at i; i where there are none."""
+        if not self.typed or not self.is_op(i, "<"):
+            return i
+        depth, j = 0, i
+        while j < min(len(self.tok), i + 400):
+            if self.kind[j] == "op":
+                t = self.tok[j]
+                depth += (t == "<") - (t == ">")
+                if not depth:
+                    return j + 1
+                if t in ";+-*/%!^" or t in _CLOSERS or t in "&|" and self.tok[j - 1] == t:
+                    return i  # no types: a comparison
+                if t in _PAIRS:
+                    j = self.pair.get(j, len(self.tok))
+            j += 1
+        return i
+
     def is_op(self, i: int, t: str) -> bool:
         return 0 <= i < len(self.tok) and self.kind[i] == "op" and self.tok[i] == t
 
@@ -103,19 +167,21 @@ class _Scan:
 
 
 def _calls(s: _Scan, lo: int, hi: int, skip: list[tuple[int, int]]) -> list[dict]:
-    found = []
+    found, jumps = [], dict(reversed(skip))
     i = lo
     while i < hi:
-        jump = next((b for a, b in skip if a == i), None)
+        jump = jumps.get(i)
         if jump is not None:
             i = jump + 1
             continue
-        if s.is_name(i) and s.is_op(i + 1, "(") and s.tok[i] not in _WORDS \
-                and not (s.is_name(i - 1) and s.tok[i - 1] == "function"):
-            a = s.callee_start(i)
-            close = s.pair.get(i + 1, i + 1)
-            if s.is_name(a):
+        if s.is_name(i) and s.tok[i] not in _WORDS and s.tok[i - 1:i] != ["function"]:
+            p, a = s.past_types(i + 1), s.callee_start(i)
+            called = s.is_op(p, "(")
+            bare = s.tok[a - 1:a] == ["new"] and not (
+                s.is_op(i + 1, ".") or s.is_op(i + 1, "?.") or called)
+            if (called or bare) and s.is_name(a):
                 # An outer call comes before the calls inside it.
+                close = s.pair.get(p, p) if called else i
                 found.append((s.at[a], -s.end[close],
                               {"simple": s.tok[i], "display": s.text[s.at[a]:s.end[i]]}))
         i += 1
@@ -129,8 +195,9 @@ def _match(s: _Scan, i: int, hi: int, in_class: bool):
                                         "declare", "abstract") or s.kind[i - 1] != "op"
     if word == "function" and starts:
         n = i + 2 if s.is_op(i + 1, "*") else i + 1
-        if s.is_name(n) and s.is_op(n + 1, "(") and n + 1 in s.pair:
-            return "func", n, n + 1, s.find_body(s.pair[n + 1] + 1, hi)
+        p = s.past_types(n + 1)
+        if s.is_name(n) and s.is_op(p, "(") and p in s.pair:
+            return "func", n, p, s.find_body(s.pair[p] + 1, hi)
     elif word in ("class", "interface") and s.is_name(i + 1) and not s.is_op(i - 1, "."):
         body = s.find_body(i + 2, hi)
         if body is not None:
@@ -145,6 +212,7 @@ def _match(s: _Scan, i: int, hi: int, in_class: bool):
                 p = next((k for k in range(j, min(j + 4, hi)) if s.is_op(k, "(")), None)
                 if p in s.pair:
                     return "arrow", i + 1, p, s.find_body(s.pair[p] + 1, hi)
+            j = s.past_types(j)
             p = j if s.is_op(j, "(") and j in s.pair else None
             k = s.pair[j] + 1 if p is not None else j + 1
             while p is not None and k < hi and not s.is_op(k, "=>") and s.is_op(s.pair[j] + 1, ":") \
@@ -152,13 +220,16 @@ def _match(s: _Scan, i: int, hi: int, in_class: bool):
                 k += 1
             if s.is_op(k, "=>") and (p is not None or s.is_name(j)):
                 return "arrow", i + 1, p, k + 1
-    elif word and word not in _WORDS and s.is_op(i + 1, "(") and i + 1 in s.pair \
-            and not s.is_op(i - 1, ".") and s.tok[i - 1:i] != ["new"]:
-        after = s.pair[i + 1] + 1
-        if s.is_op(after, "{") or (in_class and s.is_op(after, ":")):
-            body = s.find_body(after, hi)
-            if body is not None:
-                return "method", i, i + 1, body
+    elif word and word not in _WORDS and not s.is_op(i - 1, ".") and s.tok[i - 1:i] != ["new"]:
+        p = s.past_types(i + 1)
+        if s.is_op(p, "(") and p in s.pair:
+            after = s.pair[p] + 1
+            if in_class and not s.is_op(after, "{") and "abstract" in s.tok[max(i - 3, 0):i]:
+                return "signature", i, p, p
+            if s.is_op(after, "{") or (in_class and s.is_op(after, ":")):
+                body = s.find_body(after, hi)
+                if body is not None:
+                    return "method", i, p, body
     return None
 
 
@@ -189,6 +260,10 @@ def _walk(s: _Scan, lo: int, hi: int, prefix: str, owner: str | None, in_class:
             continue
         form, n, p, body = hit
         close = _statement_end(s, body, hi) if form == "arrow" else s.pair[body]
+        if form == "signature":  # up to the end of its return type
+            while close + 1 < hi and not s.is_op(close + 1, ";") and not s.is_op(close + 1, "}") \
+                    and s.line(s.at[close + 1]) == s.line(s.at[close]):
+                close = s.pair.get(close + 1, close + 1)
         first = n if form == "arrow" else i
         while first > lo and s.is_name(first - 1) and form != "arrow" \
                 and (s.tok[first - 1] in _MODIFIERS or s.tok[first - 1] == "default"):
@@ -199,15 +274,16 @@ def _walk(s: _Scan, lo: int, hi: int, prefix: str, owner: str | None, in_class:
         qual = f"{prefix}.{name}" if prefix else name
         inner: list[tuple[int, int]] = []
         sub: dict = {}
-        _walk(s, body + 1 if s.is_op(body, "{") else body, close + (form == "arrow"), qual,
-              qual if is_class else None, is_class, sub, inner)
+        if form != "signature":
+            _walk(s, body + 1 if s.is_op(body, "{") else body, close + (form == "arrow"), qual,
+                  qual if is_class else None, is_class, sub, inner)
         found.setdefault(qual, dict(
             qualname=qual, name=name,
             kind="class" if is_class else ("method" if owner else "function"),
             start_line=s.line(s.at[first]), end_line=s.line(s.end[close] - 1),
             docstring=None if form == "arrow" else s.doc_before(s.at[first]),
             source=s.text[s.at[first]:s.end[close]], owner_class=owner,
-            calls=[] if is_class else _calls(s, body, close + 1, inner), bases=[],
+            calls=[] if is_class or form == "signature" else _calls(s, body, close + 1, inner), bases=[],
             params=s.params(p) if p is not None and not is_class else [],
             exported=exported))
         for q, d in sub.items():
@@ -218,7 +294,8 @@ def _walk(s: _Scan, lo: int, hi: int, prefix: str, owner: str | None, in_class:
 
 
 def read_script(content: bytes, module: str, path: str) -> dict:
-    s = _Scan(content.decode("utf8", "replace").removeprefix("\ufeff"))
+    s = _Scan(content.decode("utf8", "replace").removeprefix("\ufeff"),
+              typed=path.endswith((".ts", ".tsx", ".mts")))
     found: dict = {}
     _walk(s, 0, len(s.tok), module, None, False, found, [])
     return {"defs": [{**d, "pos": i} for i, d in enumerate(found.values())], "attributes": [],

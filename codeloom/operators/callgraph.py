@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,54 +36,72 @@ def _on_self(simple: str = "simple", display: str = "display") -> Column:
         | (d == F.concat(F.lit("cls."), s)))
 
 
-def class_parents(symbols: DataFrame) -> DataFrame:
-    """Direct in-repo base classes: every class that carries the base's name."""
+def class_steps(symbols: DataFrame) -> DataFrame:
+    """(repo, name, base, step): base-class names above each class name, in order.
+
+    Classes of one name are followed together, so a name that very many classes carry is one
+    row for each base name, not one for each pair of classes.
+    """
     classes = symbols.where("kind = 'class'")
-    named = classes.select("repo", F.col("name").alias("base"),
-                           F.col("qualname").alias("parent"), F.col("ord").alias("parent_ord"))
-    return (classes.select("repo", F.col("qualname").alias("cls"),
-                           F.posexplode("bases").alias("base_pos", "base"))
-            .join(named, ["repo", "base"])
-            .groupBy("repo", "cls", "parent")
-            .agg(F.min(ordinal("base_pos", "parent_ord")).alias("step")))
+    return (classes.select("repo", "name", "ord", F.posexplode("bases").alias("base_pos", "base"))
+            .groupBy("repo", "name", "base").agg(F.min(ordinal("ord", "base_pos")).alias("step")))
+
+
+def _defined_in(symbols: DataFrame) -> DataFrame:
+    """(repo, name, simple, targets): what classes of a name define, the first two by order.
+
+    Two, because the asking class may carry the name too and does not answer itself.
+    """
+    classes = symbols.where("kind = 'class'").select(
+        "repo", F.col("qualname").alias("owner_class"), F.col("name").alias("cls_name"),
+        F.col("ord").alias("cls_ord"))
+    members = (symbols.where("owner_class is not null")
+               .select("repo", "owner_class", F.col("name").alias("simple"),
+                       F.col("qualname").alias("target"))
+               .join(classes, ["repo", "owner_class"]))
+    nth = F.row_number().over(W.partitionBy("repo", "cls_name", "simple")
+                              .orderBy("cls_ord", "target"))
+    return (members.withColumn("nth", nth).where("nth <= 2")
+            .groupBy("repo", F.col("cls_name").alias("name"), "simple")
+            .agg(F.array_sort(F.collect_list(F.struct("nth", "target"))).alias("targets")))
 
 
 def resolve_inherited(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     """First class above ``owner`` (breadth first) that defines ``simple``.
 
-    ``wanted`` has distinct (repo, owner, simple). One join per inheritance level;
-    pairs found are dropped, and classes nobody asks about any more are not followed.
+    ``wanted`` has distinct (repo, owner, simple). Class names are followed level by level, each
+    level written once; what the names on the way define is looked up in one join at the end.
     """
-    methods = symbols.select("repo", F.col("qualname").alias("target"))
-    parents = cut_lineage(class_parents(symbols))
-    spark = symbols.sparkSession
-    hits = spark.createDataFrame([], "repo string, owner string, simple string, target string")
-    wanted = cut_lineage(wanted)
-    starts = wanted.select("repo", "owner").distinct()
-    frontier = starts.select("repo", "owner", F.col("owner").alias("cls"),
-                             F.expr("cast(array() as array<struct<base_pos:int,"
-                                    "parent_ord:struct<file:string,pos:int>>>)").alias("path"))
-    visited = frontier.select("repo", "owner", "cls")
-    while True:
-        step = (frontier.join(parents, ["repo", "cls"])
-                .select("repo", "owner", F.col("parent").alias("cls"),
-                        F.concat("path", F.array("step")).alias("path"))
-                .groupBy("repo", "owner", "cls").agg(F.min("path").alias("path"))
-                .join(visited, ["repo", "owner", "cls"], "left_anti"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            return hits
-        found = cut_lineage(
-            wanted.join(frontier, ["repo", "owner"])
-            .withColumn("target", F.concat_ws(".", "cls", "simple"))
-            .join(methods, ["repo", "target"], "left_semi")
+    owners = wanted.select("repo", F.col("owner").alias("qualname")).distinct()
+    steps = cut_lineage(class_steps(symbols))
+    level = cut_lineage(
+        symbols.where("kind = 'class'").join(owners, ["repo", "qualname"], "left_semi")
+        .select("repo", F.col("qualname").alias("owner"), F.posexplode("bases").alias("pos", "name"))
+        .groupBy("repo", "owner", "name").agg(F.min("pos").alias("pos"))
+        .select("repo", "owner", "name", F.array(ordinal(
+            F.lit(None).cast(steps.schema["step"].dataType["ord"].dataType).alias("ord"),
+            F.col("pos").alias("base_pos"))).alias("path")))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        above = (level.withColumnRenamed("name", "below")
+                 .join(steps.withColumnRenamed("name", "below"), ["repo", "below"])
+                 .select("repo", "owner", F.col("base").alias("name"),
+                         F.concat("path", F.array("step")).alias("path"))
+                 .groupBy("repo", "owner", "name").agg(F.min("path").alias("path")))
+        for seen in levels:
+            above = above.join(seen, ["repo", "owner", "name"], "left_anti")
+        level = cut_lineage(above)
+    if not levels:
+        return wanted.where("false").withColumn("target", F.lit(None).cast("string"))
+    reached = reduce(DataFrame.unionByName, [
+        lv.withColumn("level", F.lit(i)) for i, lv in enumerate(levels)])
+    itself = F.concat_ws(".", "owner", "simple")
+    other = F.filter("targets", lambda t: t["target"] != itself)
+    return (wanted.join(reached, ["repo", "owner"]).join(_defined_in(symbols), ["repo", "name", "simple"])
+            .withColumn("target", F.get(other, F.lit(0))["target"]).where("target is not null")
             .groupBy("repo", "owner", "simple")
-            .agg(F.min_by("target", "path").alias("target")))
-        hits = hits.unionByName(found)
-        wanted = cut_lineage(wanted.join(found, ["repo", "owner", "simple"], "left_anti"))
-        visited = cut_lineage(visited.unionByName(frontier.select("repo", "owner", "cls")))
-        frontier = frontier.join(wanted.select("repo", "owner").distinct(),
-                                 ["repo", "owner"], "left_semi")
+            .agg(F.min_by("target", ordinal("level", "path")).alias("target")))
 
 
 def resolve_self_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -99,20 +119,17 @@ def resolve_self_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
                          .select("repo", "caller", "simple", "target")))
 
 
-def resolve_calls(sites: DataFrame, symbols: DataFrame, self_calls: bool = True) -> DataFrame:
+def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """Every call site with its outcome: `edge`, `recursion`, `ambiguous` or `missing`.
 
     The lookup side has one row per (repo, name), so a very common name costs a
     skewed probe side only, which AQE splits.
     """
-    if self_calls:
-        by_self = resolve_self_calls(sites, symbols)
-        flagged = sites.withColumn("on_self", _on_self())
-        sites = (flagged.where("on_self").join(by_self, ["repo", "caller", "simple"], "left")
-                 .unionByName(flagged.where("not on_self")
-                              .withColumn("target", F.lit(None).cast("string"))))
-    else:
-        sites = sites.withColumn("target", F.lit(None).cast("string"))
+    by_self = resolve_self_calls(sites, symbols)
+    flagged = sites.withColumn("on_self", _on_self())
+    sites = (flagged.where("on_self").join(by_self, ["repo", "caller", "simple"], "left")
+             .unionByName(flagged.where("not on_self")
+                          .withColumn("target", F.lit(None).cast("string"))))
     open_calls = sites.where(F.col("target").isNotNull()
                              | ~F.col("simple").isin(*fixed.BUILTINS))
     looked = open_calls.join(name_index(symbols), ["repo", "simple"], "left")
@@ -132,12 +149,12 @@ def call_edges(resolved: DataFrame) -> DataFrame:
 
 
 def unresolved_calls(resolved: DataFrame) -> DataFrame:
-    """(repo, caller, text, n): the bag of unmatched calls, equal ones counted in ``n``."""
+    """(repo, caller, text, n, call_ord): unmatched calls, equal ones counted, first place kept."""
     return resolved.where("outcome in ('ambiguous', 'missing')").select(
         "repo", "caller",
         F.when(F.col("outcome") == "ambiguous",
                F.concat("display", F.lit(" (ambiguous: "), F.col("matches").cast("string"),
-                        F.lit(")"))).otherwise(F.col("display")).alias("text"), "n")
+                        F.lit(")"))).otherwise(F.col("display")).alias("text"), "n", "call_ord")
 
 
 def resolution_rate(edges: DataFrame, unresolved: DataFrame) -> DataFrame:

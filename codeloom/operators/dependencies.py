@@ -50,11 +50,11 @@ def judge_alternatives(deps: DataFrame, proposals: DataFrame, packages: DataFram
     number = F.format_number("relevance", 2)
     number = F.when((pair_dot("dep_embedding", "embedding") < 0) & (number == "0.00"), "-0.00") \
         .otherwise(number)
-    reason = (F.when(F.col("found").isNull(), F.lit("not on PyPI"))
-              .when(builds, F.concat(F.lit("builds on "), "dependency"))
-              .when(dead, F.lit("its own PyPI page says not to use it"))
+    reason = (F.when(F.col("found").isNull(), F.lit("no such package"))
+              .when(builds, F.concat(F.lit("needs "), "dependency", F.lit(" itself")))
+              .when(dead, F.lit("given up by its authors"))
               .when(both & (F.col("relevance") < fixed.MIN_RELEVANCE), F.concat(
-                  F.lit("does something else, "), number)))
+                  F.lit("another purpose, similarity "), number)))
     judged = j.withColumn("relevance", relevance)
     return judged.select("repo", "dependency", "ord", "candidate",
                          F.when(reason.isNull(), F.col("relevance")).otherwise(0.0)

@@ -77,7 +77,8 @@ class FunctionCompleter:
     """Calls ``ask(prompts) -> replies`` in the tasks, batch by batch, three attempts each.
 
     One task is one stage: all rows of a task go to the same model before the
-    next task starts. A row whose attempts all fail gets a null reply.
+    next task starts. When a batch fails, its prompts are asked one by one, each
+    with attempts of its own; a prompt whose attempts all fail gets a null reply.
     """
 
     def __init__(self, ask: Callable[[list[str]], list[str]], name: str = "function",
@@ -88,15 +89,18 @@ class FunctionCompleter:
         ask, attempts = self.ask, self.attempts
 
         def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for prompts in batches:
-                out = None
-                for _ in range(attempts):
+            def asked(prompts: list[str], times: int) -> list[str | None] | None:
+                for _ in range(times):
                     try:
-                        out = ask(list(prompts))
-                        break
-                    except Exception:
+                        return list(ask(prompts))
+                    except Exception:  # whatever a model client raises is one failed attempt
                         continue
-                yield pd.Series(out if out is not None else [None] * len(prompts), dtype=object)
+                return None
+
+            for prompts in batches:
+                together = asked(list(prompts), 1)
+                yield pd.Series(together if together is not None else [
+                    (asked([p], attempts) or [None])[0] for p in prompts], dtype=object)
 
         udf = F.pandas_udf(replies, T.StringType()).asNondeterministic()
         return df.withColumn("reply", udf("prompt"))
@@ -104,13 +108,13 @@ class FunctionCompleter:
 
 def _facts(calls: str, called_by: str) -> Column:
     return F.concat_ws(
-        "\n", F.concat(F.lit("Name: "), "qualname"),
-        F.concat(F.lit("Location: "), "file", F.lit(":"), F.col("start_line").cast("string"),
+        "\n", F.concat(F.lit("definition "), "qualname"),
+        F.concat(F.lit("in "), "file", F.lit(":"), F.col("start_line").cast("string"),
                  F.lit("-"), F.col("end_line").cast("string")),
-        F.concat(F.lit("Kind: "), "kind"),
-        F.when(F.size(calls) > 0, F.concat(F.lit("Calls (verified): "), F.array_join(
+        F.concat(F.lit("is a "), "kind"),
+        F.when(F.size(calls) > 0, F.concat(F.lit("uses "), F.array_join(
             short_names(F.col(calls)), ", "))),
-        F.when(F.size(called_by) > 0, F.concat(F.lit("Called by (verified): "), F.array_join(
+        F.when(F.size(called_by) > 0, F.concat(F.lit("used by "), F.array_join(
             short_names(F.col(called_by)), ", "))))
 
 
@@ -125,7 +129,7 @@ def describe_symbols(notes: DataFrame, symbols: DataFrame, edges: DataFrame,
     j = (notes.join(symbols.select("repo", "qualname", "source", "docstring"), ["repo", "qualname"])
          .join(inn, ["repo", "qualname"], "left"))
     long = F.length("source") > fixed.DESCRIBE_SOURCE_CHARS
-    shown = text.cut("source", fixed.DESCRIBE_SOURCE_CHARS, "\n# ... (truncated)")
+    shown = text.cut("source", fixed.DESCRIBE_SOURCE_CHARS, "\n# (cut here)")
     prompt = F.concat(_facts("calls", "called_by"), F.lit("\n\nSource:\n"), shown, F.lit(
         "\n\nAnswer as JSON with purpose (one plain sentence), inputs, returns and confidence "
         "(high, medium or low)."))
@@ -207,7 +211,7 @@ def write_sections(notes: DataFrame, components: DataFrame, reading: DataFrame,
                          F.col("title"), "component",
                          "Explain this part: what it is for, then how its pieces hand over.")
     steps = (reading.withColumn("line", fact_line()).groupBy("repo")
-             .agg(ordered("line", "step").alias("fact_lines"),
+             .agg(F.slice(ordered("line", "step"), 1, fixed.READING_STEPS).alias("fact_lines"),
                   ordered("qualname", "step").alias("allowed"))
              .withColumn("opening", F.lit("Read these first, in this order:\n")))
     first = _section(steps, completer, F.lit(max_components + 1), F.lit("reading-order"),

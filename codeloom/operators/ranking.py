@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import fixed
 from .callgraph import callees, with_fan
 
 
@@ -96,11 +97,16 @@ def components(notes: DataFrame) -> DataFrame:
                           F.row_number().over(w).alias("rank"))
 
 
-def reading_order(notes: DataFrame, limit: int = 6) -> DataFrame:
-    """Entry points and orchestrators, or the first five notes when there are none."""
+def reading_order(notes: DataFrame, limit: int | None = fixed.READING_STEPS) -> DataFrame:
+    """Entry points and orchestrators, or the first five notes when there are none.
+
+    Without a limit all of them, for texts that may name every one.
+    """
     flagged = notes.withColumn("way_in", F.col("role").isin("entry point", "orchestrator"))
     # Notes are a bounded top list per repository, so this window is small.
     any_way = F.max("way_in").over(W.partitionBy("repo"))
     kept = flagged.withColumn("any_way", any_way).where(
         F.col("way_in") | (~F.col("any_way") & (F.col("rank") <= 5)))
-    return top_per_repo(kept, limit, F.asc("rank"), rank="step").drop("way_in", "any_way")
+    step = F.row_number().over(W.partitionBy("repo").orderBy("rank"))
+    ordered = kept.withColumn("step", step).drop("way_in", "any_way")
+    return ordered if limit is None else ordered.where(F.col("step") <= limit)

@@ -14,7 +14,7 @@ from ..functions import fixed, text
 from ..functions.python_source import read_python
 from ..functions.script_source import read_script
 from ..schemas import PARSED
-from ..session import ordinal, spread
+from ..session import ordinal
 
 
 def language(path: str | Column) -> Column:
@@ -57,10 +57,9 @@ _parse = _parse.asNondeterministic()
 def parse_files(files: DataFrame) -> DataFrame:
     """One row per source file: (repo, file, parsed). Unknown languages are dropped first.
 
-    Parsing costs far more than reading, so an input with fewer partitions than
-    there are cores is spread first; a big input is parsed where it is read.
+    Files are parsed where they are read; the readers deal paths out before content is opened.
     """
-    known = spread(files.where(language("path").isNotNull()))
+    known = files.where(language("path").isNotNull())
     return known.select("repo", F.col("path").alias("file"), _parse(
         F.col("content"), module_qualname("path"), F.col("path"), language("path")).alias("parsed"))
 
@@ -74,17 +73,20 @@ def definitions(parsed: DataFrame) -> DataFrame:
 def unique_symbols(defs: DataFrame) -> DataFrame:
     """One row per (repo, qualname): the last file's definition, at the first one's position.
 
+    Files are ordered folder by folder, so what is in `pkg/` comes before `pkg.py`.
+
     Only narrow keys are grouped. The wide rows are joined against the few
     qualnames that more than one file defines, which AQE turns into a broadcast.
     """
+    parts = F.split("file", "/").alias("parts")
     clashes = (defs.groupBy("repo", "qualname")
-               .agg(F.max("file").alias("last_file"), F.min("file").alias("first_file"),
-                    F.min(ordinal("file", "pos")).alias("first_ord"))
-               .where("first_file <> last_file")
-               .select("repo", "qualname", "last_file", "first_ord"))
+               .agg(F.max(F.struct(parts, "file")).alias("last"), F.min("file").alias("one_file"),
+                    F.min(ordinal(parts, "pos")).alias("first_ord"))
+               .where("one_file <> last.file or first_ord.parts <> last.parts")
+               .select("repo", "qualname", F.col("last.file").alias("last_file"), "first_ord"))
     return (defs.join(clashes, ["repo", "qualname"], "left")
             .where("last_file is null or file = last_file")
-            .withColumn("ord", F.coalesce("first_ord", ordinal("file", "pos")))
+            .withColumn("ord", F.coalesce("first_ord", ordinal(parts, "pos")))
             .withColumn("line_count", F.expr("end_line - start_line + 1"))
             .drop("last_file", "first_ord", "pos"))
 

@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import ordinal, spread
+from ..session import ordinal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt over all cores before each of them becomes a text to work on."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 # ---- catalog --------------------------------------------------------------------------
 
 def _adj() -> Column:
@@ -40,7 +45,7 @@ def catalog_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("def "), name, F.lit("(a: int):"))) \
             .otherwise(F.concat(F.lit("def "), name, F.lit("(a,")))
     return (table(spark, sf_dir, "part").select(
-        F.lit("catalog").alias("repo"),
+        F.lit("catalog").alias("repo"), F.array().cast("array<string>").alias("bases"),
         F.concat_ws(".", brand, _noun(), F.concat(F.lit("p"), F.col("p_partkey").cast("string")),
                     name).alias("qualname"),
         name.alias("name"), kind.alias("kind"),
@@ -62,11 +67,11 @@ def catalog_exports(symbols: DataFrame) -> DataFrame:
 
 def catalog_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites: the part of each line calls a name picked by the order's customer."""
-    line = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linenumber"))
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linenumber")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     caller = catalog_symbols(spark, sf_dir).select(
-        "p_partkey", F.col("qualname").alias("caller"), "file",
+        "p_partkey", F.col("qualname").alias("caller"), "owner_class", "file",
         F.regexp_extract("name", "[a-z]+", 0).alias("adj"),
         F.regexp_extract("file", "([a-z]+)[.]py$", 1).alias("noun"))
     simple = F.when(F.col("plain"), "append").otherwise(
@@ -83,8 +88,8 @@ def catalog_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
                .agg(F.count("*").alias("n"),
                     F.min(ordinal("l_orderkey", "l_linenumber")).alias("at")))
     return (counted.join(caller, F.col("l_partkey") == F.col("p_partkey"))
-            .select(F.lit("catalog").alias("repo"), "caller", F.lit(None).cast("string").alias(
-                "owner_class"), simple.alias("simple"), called.alias("display"), "n",
+            .select(F.lit("catalog").alias("repo"), "caller", "owner_class",
+                simple.alias("simple"), called.alias("display"), "n",
                 ordinal("file", "p_partkey", "at").alias("call_ord"))
             .groupBy("repo", "caller", "owner_class", "simple", "display")
             .agg(F.sum("n").alias("n"), F.min("call_ord").alias("call_ord")))
@@ -161,8 +166,9 @@ def _file(repo: Column, path: Column | str, body: Column) -> list[Column]:
 
 
 def shop_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
-    order = table(spark, sf_dir, "orders")
+    customer = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+    order = dealt(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
     owner = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
     base = customer.select(*_file(owner, "src/shop/base.py",
                                   _filled(BASE_PY, segment="c_mktsegment")))
@@ -177,6 +183,6 @@ def shop_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
-    return table(spark, sf_dir, "supplier").select(*_file(
+    return dealt(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")).select(*_file(
         F.concat(F.lit("s"), key), F.concat(F.lit("src/web/s"), key, F.lit(".ts")),
         _filled(SUPPLIER_TS, name="s_name", key="s_suppkey")))

@@ -25,6 +25,7 @@ class State:
     """What a run has so far. Every relation is a DataFrame keyed by ``repo``."""
 
     files: DataFrame
+    paths: DataFrame | None = None   # (repo, path) of every file
     analysis: symbols.Analysis | None = None
     notes: DataFrame | None = None
     components: DataFrame | None = None
@@ -48,8 +49,9 @@ def limits(symbols: DataFrame, edges: DataFrame, unresolved: DataFrame,
         F.sum(F.when(vague, F.col("n")).otherwise(0)).alias("ambiguous"))
     head = F.substring_index("text", ".", 1)
     outside = (unresolved.where(F.col("text").contains(".") & ~vague & ~head.isin("self", "cls"))
-               .groupBy("repo", head.alias("head")).agg(F.sum("n").alias("c")))
-    five = (top_per_repo(outside, 5, F.desc("c"), F.asc("head")).groupBy("repo")
+               .groupBy("repo", head.alias("head"))
+               .agg(F.sum("n").alias("c"), F.min("call_ord").alias("first")))
+    five = (top_per_repo(outside, 5, F.desc("c"), F.asc("first")).groupBy("repo")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "head"))).alias("s"))
             .select("repo", F.col("s.head").alias("external")))
     out = s
@@ -67,10 +69,10 @@ def _no_definitions(files: DataFrame) -> NothingToRead:
 
 
 def stage_analyze(st: State, subdir: str = "") -> None:
-    code_tree.check_folder(st.files, subdir)
+    code_tree.check_folder(st.paths, subdir)
     a = callgraph.analyze_files(code_tree.source_files(st.files, subdir=subdir))
     if a.symbols.isEmpty():
-        raise _no_definitions(st.files)
+        raise _no_definitions(st.paths)
     a.edges, a.unresolved = cut_lineage(a.edges), cut_lineage(a.unresolved)
     a.exports = cut_lineage(symbols.exported_names(st.files, a.symbols))
     st.analysis = a
@@ -89,7 +91,7 @@ def stage_map(st: State, completer: Completer, top: int) -> None:
 def stage_write(st: State, completer: Completer) -> None:
     totals = modules.surface_counts(st.analysis.symbols, st.analysis.edges)
     st.sections = cut_lineage(generation.write_sections(
-        st.notes, st.components, ranking.reading_order(st.notes), st.entry, totals, completer))
+        st.notes, st.components, ranking.reading_order(st.notes, None), st.entry, totals, completer))
 
 
 def review_issues(sections: DataFrame, a: symbols.Analysis,
@@ -123,9 +125,14 @@ def stage_revise(st: State, completer: Completer) -> None:
 
 
 def stages(files: DataFrame, top: int = 10, max_rounds: int = 2, subdir: str = "",
-           completer: Completer | None = None) -> Iterator[tuple[str, State]]:
-    """Run stage by stage, yielding the state after each."""
-    completer, st = completer or FactCompleter(), State(files=files)
+           completer: Completer | None = None,
+           paths: DataFrame | None = None) -> Iterator[tuple[str, State]]:
+    """Run stage by stage, yielding the state after each.
+
+    ``paths`` lists every file, for steps that need no content; without it ``files`` does.
+    """
+    completer = completer or FactCompleter()
+    st = State(files=files, paths=files.select("repo", "path") if paths is None else paths)
 
     def done(name: str) -> tuple[str, State]:
         st.log.append(name)
@@ -157,21 +164,37 @@ def run(files: DataFrame, **options) -> State:
 
 def provenance() -> "F.Column":
     return (F.when(F.col("coverage") == "background",
-                   "general knowledge, not checked against this repository")
+                   "from general knowledge; nothing was looked up here")
             .when(F.col("coverage") == "insufficient",
-                  "the retrieved code did not cover this question, so nothing here was checked "
-                  "or grounded in the source")
-            .when(F.col("passed").isNull(), "read from the source, unverified")
-            .when(F.col("passed"), "read from the source and checked against the call graph")
-            .otherwise("read from the source, but some claims failed the check"))
+                  "no source that was found answers this; nothing was checked")
+            .when(F.col("passed").isNull(), "based on source, not checked")
+            .when(F.col("passed"), "based on source; its claims hold in the call graph")
+            .otherwise("based on source; some of its claims are wrong"))
+
+
+def _example(hits: DataFrame, answered: DataFrame, tests: DataFrame) -> DataFrame:
+    """(repo, example): the first test of the first hit that has one, hits named in the answer first."""
+    from ..operators import examples
+    grounded = hits.join(answered.where("coverage = 'grounded'").select("repo", "text"), "repo")
+    named = F.array_contains(F.transform(text.mentions("text"), lambda m: F.regexp_replace(
+        text.tail(m), r"\(\)$", "")), text.tail("qualname"))
+    wanted = cut_lineage(examples.example_candidates(grounded, named)
+                         .select("repo", "place", F.col("qualname").alias("name")))
+    found = examples.find_examples(wanted, tests)
+    return (found.join(wanted.select("repo", "place", text.tail("name").alias("uses")), ["repo", "uses"])
+            .groupBy("repo").agg(F.min_by("source", ordinal("place", "rank")).alias("example")))
 
 
 def ask(question: str, a: symbols.Analysis, vectors: DataFrame, vector: list[float],
-        completer: Completer | None = None, k: int = 5, verify: bool = True) -> DataFrame:
-    """(repo, text, coverage, best_score, claims_checked, errors, passed, provenance).
+        completer: Completer | None = None, k: int = 5, verify: bool = True,
+        tests: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """(repo, text, coverage, best_score, sources, example, claims_checked, errors, passed, provenance).
 
     One answer per repository: search, answer from the hits, check the answer.
-    A repository without any hit is answered as insufficient.
+    A repository without any hit is answered as insufficient. ``sources`` are the hits with their
+    scores. ``example`` is a test (from the definitions in ``tests``) that uses a hit: one that the
+    answer names before the others; only answers about the source get one. ``summaries`` has
+    (repo, summary), a line about each project for the prompt.
     """
     from ..operators import retrieval
     from ..schemas import ANSWER_REPLY
@@ -181,7 +204,11 @@ def ask(question: str, a: symbols.Analysis, vectors: DataFrame, vector: list[flo
     context = blocks.groupBy("repo").agg(F.array_sort(F.collect_list(
         F.struct("rank", "qualname", "block"))).alias("s")).select(
         "repo", F.col("s.qualname").alias("names"), F.array_join("s.block", "\n\n").alias("context"))
-    prompt = F.concat(F.lit("Repository: "), "repo", F.lit(f"\nQuestion: {question}\n\n"), "context",
+    if summaries is not None:
+        context = context.join(summaries.select("repo", "summary"), "repo", "left")
+    about = F.lit("") if summaries is None else F.when(F.coalesce("summary", F.lit("")) != "", F.concat(
+        F.lit(" ("), "summary", F.lit(")"))).otherwise("")
+    prompt = F.concat(F.lit("Project "), "repo", about, F.lit(f"\nQuestion: {question}\n\n"), "context",
                       F.lit("\n\nAnswer as JSON with answer and coverage (grounded, background or "
                             "insufficient)."))
     told = completer.complete(context.withColumn("prompt", prompt), "answer")
@@ -196,7 +223,15 @@ def ask(question: str, a: symbols.Analysis, vectors: DataFrame, vector: list[flo
            .join(retrieval.best_score(hits), "repo", "left").na.fill(0.0, ["best_score"])
            .withColumn("coverage", F.coalesce("coverage", F.lit("insufficient")))
            .withColumn("text", F.coalesce("text", F.lit(
-               "Nothing in this repository looks related to that question."))))
+               "No definition matches the question."))))
+    sources = hits.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(  # k hits at most
+        F.struct("rank", "qualname", "score"))), lambda h: F.struct(
+            h["qualname"].alias("qualname"), h["score"].alias("score"))).alias("sources"))
+    out = out.join(sources, "repo", "left")
+    if tests is None:
+        out = out.withColumn("example", F.lit(None).cast("string"))
+    else:
+        out = out.join(_example(hits, answered, tests), "repo", "left")
     if verify:
         section = answered.where("coverage = 'grounded'").select(
             "repo", F.lit("answer").alias("key"), F.lit(question[:60]).alias("heading"),

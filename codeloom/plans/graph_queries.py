@@ -33,7 +33,7 @@ sym AS (
 )"""
 EDGE = SYM + """,
 site AS (
-  SELECT qualname AS caller, file, p_partkey, l_orderkey, l_linenumber, simple,
+  SELECT qualname AS caller, owner_class, file, p_partkey, l_orderkey, l_linenumber, simple,
          CASE l_returnflag WHEN 'R' THEN 'self.' || simple WHEN 'A' THEN noun || '.' || simple
                            ELSE simple END AS display
   FROM (SELECT s.*, l.*, CASE WHEN l_quantity = 50 THEN 'append'
@@ -43,15 +43,18 @@ site AS (
 named AS (SELECT name, count(*) AS matches, min(qualname) AS match FROM sym GROUP BY name),
 res AS (
   SELECT caller, simple, display, n, file, p_partkey, l_orderkey, l_linenumber, matches,
-         CASE WHEN matches = 1 THEN match END AS callee,
-         CASE WHEN matches = 1 AND match = caller THEN 'recursion' WHEN matches = 1 THEN 'edge'
-              WHEN matches > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome
-  FROM (SELECT caller, simple, display, count(*) AS n, any_value(file) AS file,
+         coalesce(own.qualname, CASE WHEN matches = 1 THEN match END) AS callee,
+         CASE WHEN own.qualname IS NOT NULL THEN 'edge' WHEN matches = 1 AND match = caller THEN 'recursion'
+              WHEN matches = 1 THEN 'edge' WHEN matches > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome
+  FROM (SELECT caller, simple, display, count(*) AS n, any_value(file) AS file, any_value(owner_class) AS owner,
                any_value(p_partkey) AS p_partkey, min((l_orderkey, l_linenumber)) AS at,
                min((l_orderkey, l_linenumber))[1] AS l_orderkey,
                min((l_orderkey, l_linenumber))[2] AS l_linenumber
         FROM site WHERE simple <> 'append' GROUP BY caller, simple, display)
   LEFT JOIN named ON simple = name
+  -- no class of the catalog has a base, so a call on self stays in its class
+  LEFT JOIN (SELECT qualname FROM sym) own ON display = 'self.' || simple AND own.qualname = owner || '.' || simple
+       AND own.qualname <> caller
 ),
 edge AS (
   SELECT caller, callee, min((file, p_partkey, l_orderkey, l_linenumber)) AS ord
@@ -91,8 +94,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.resolve_calls(corpus.catalog_sites(spark, sf_dir), _symbols(spark, sf_dir),
-                                   self_calls=False)
+    return callgraph.resolve_calls(corpus.catalog_sites(spark, sf_dir), _symbols(spark, sf_dir))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,8 @@ def _notes(spark: SparkSession, sf_dir: str, edges: DataFrame, top: int = 20) ->
        "coalesce((SELECT string_agg(callee, ',' ORDER BY callee) FROM (SELECT callee FROM edge "
        "WHERE caller = qualname ORDER BY callee LIMIT 10)), '') AS calls FROM note")
 def rank_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = _notes(spark, sf_dir, _edges(spark, sf_dir))
+    edges = cut_lineage(_edges(spark, sf_dir).select("repo", "caller", "callee"))
+    notes = _notes(spark, sf_dir, edges)
     return notes.select("repo", "qualname", "file", "kind", "start_line", "end_line", "role",
                         "score", "fan_in", "fan_out", F.col("rank").cast("long").alias("rank"),
                         F.array_join("calls", ",").alias("calls"))
@@ -127,7 +130,7 @@ def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
        "' (ambiguous: ' || matches || ')' ELSE display END AS text, CAST(n AS BIGINT) AS n "
        "FROM res WHERE outcome IN ('ambiguous', 'missing')")
 def unresolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.unresolved_calls(_resolved(spark, sf_dir)).drop("repo")
+    return callgraph.unresolved_calls(_resolved(spark, sf_dir)).drop("repo", "call_ord")
 
 
 @query(f"WITH {EDGE}, t AS (SELECT (SELECT count(*) FROM edge) AS edges, (SELECT sum(n) FROM res "
@@ -377,18 +380,18 @@ two AS (SELECT string_agg('`' || split_part(a, '/', 3) || '` and `' || split_par
 four AS (SELECT string_agg('`' || split_part(qualname, '.', 4) || '`', ', ' ORDER BY qualname) AS
                 shown FROM (SELECT * FROM idle ORDER BY qualname LIMIT 4)),
 f AS (
-  SELECT 0 AS ord, m || ' of ' || t || ' functions have no docstring' AS label,
-         CAST(round_even(100.0 * m / t, 0) AS BIGINT) || '% of the code explains itself only through its name'
+  SELECT 0 AS ord, m || ' of ' || t || ' definitions lack a docstring' AS label,
+         CAST(round_even(100.0 * m / t, 0) AS BIGINT) || '% must be understood from names and code'
          AS detail, false AS good FROM doc
-  UNION ALL SELECT 1, n || ' functions appear unused', shown || CASE WHEN n > 4 THEN ' and ' || (n - 4)
-         || ' more' ELSE '' END || '. Nothing in the repo calls them, though a caller outside it would '
-         || 'not show here', false FROM four, (SELECT count(*) AS n FROM idle)
-  UNION ALL SELECT 3, n || ' pairs of files import each other both ways', shown || CASE WHEN n > 2 THEN
-         ', and ' || (n - 2) || ' more' ELSE '' END || '. Circular dependencies make files hard to '
-         || 'read on their own', false FROM two, (SELECT count(*) AS n FROM mut)
-  UNION ALL SELECT 4, 'No test suite found', 'nothing here can confirm the code still behaves', false
-  UNION ALL SELECT 5, 'Type hints on only ' || CAST(round_even(100.0 * annotated / total, 0) AS BIGINT)
-         || '% of functions', 'editors and type checkers will help you less here', false FROM typ
+  UNION ALL SELECT 1, n || ' private functions without a caller', shown || CASE WHEN n > 4 THEN ' (' || (n - 4)
+         || ' further)' ELSE '' END || '; callers in other trees are not seen', false
+         FROM four, (SELECT count(*) AS n FROM idle)
+  UNION ALL SELECT 3, n || ' file pairs with calls in both directions', shown || CASE WHEN n > 2 THEN
+         ' (' || (n - 2) || ' further)' ELSE '' END || '; neither side can be followed alone', false
+         FROM two, (SELECT count(*) AS n FROM mut)
+  UNION ALL SELECT 4, 'No tests', 'a change that breaks something goes unnoticed', false
+  UNION ALL SELECT 5, CAST(round_even(100.0 * annotated / total, 0) AS BIGINT) || '% of signatures annotated',
+         'most types have to be guessed', false FROM typ
 )"""
 
 
@@ -411,14 +414,15 @@ def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SCORED},
-u AS (SELECT display, outcome, n FROM res WHERE outcome IN ('ambiguous', 'missing'))
+u AS (SELECT display, outcome, n, (file, p_partkey, l_orderkey, l_linenumber) AS place FROM res
+      WHERE outcome IN ('ambiguous', 'missing'))
 SELECT (SELECT count(*) FROM note) AS described, (SELECT count(*) FROM sym) AS total,
   (SELECT count(*) FROM edge) AS edges, (SELECT CAST(sum(n) AS BIGINT) FROM u) AS unresolved,
   (SELECT CAST(sum(n) AS BIGINT) FROM u WHERE outcome = 'ambiguous') AS ambiguous,
-  (SELECT string_agg(head, ',' ORDER BY c DESC, head) FROM (
-     SELECT split_part(display, '.', 1) AS head, sum(n) AS c FROM u
+  (SELECT string_agg(head, ',' ORDER BY c DESC, first) FROM (
+     SELECT split_part(display, '.', 1) AS head, sum(n) AS c, min(place) AS first FROM u
      WHERE display LIKE '%.%' AND outcome = 'missing' AND display NOT LIKE 'self.%'
-     GROUP BY 1 ORDER BY c DESC, head LIMIT 5)) AS external""")
+     GROUP BY 1 ORDER BY c DESC, first LIMIT 5)) AS external""")
 def limits_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .document import limits
     r = cut_lineage(_resolved(spark, sf_dir))
@@ -493,20 +497,25 @@ def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SYM}, d AS (
-  SELECT name AS qualname, file, p_partkey AS pos, line_count FROM sym),
-f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qualname, file ORDER BY pos) = 1)
-SELECT qualname, max(file) AS file, arg_max(line_count, file) AS line_count, min(file) AS first_file
+  SELECT name AS qualname, CASE WHEN p_partkey % 3 = 0 THEN replace(file, '.py', '/__init__.py') ELSE file END
+         AS file, p_partkey AS pos, line_count FROM sym),
+f AS (SELECT *, string_split(file, '/') AS place FROM d
+      QUALIFY row_number() OVER (PARTITION BY qualname, file ORDER BY pos) = 1)
+SELECT qualname, arg_max(file, place) AS file, arg_max(line_count, place) AS line_count,
+       arg_min(file, place) AS first_file
 FROM f GROUP BY qualname""")
 def dedupe_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as qualnames: the first of a file wins, then the last file."""
+    """Names as qualnames: the first of a file wins, then the last file, folders before files."""
     from ..operators.symbols import unique_symbols
-    sym = _symbols(spark, sf_dir)
+    sym = _symbols(spark, sf_dir).withColumn("file", F.when(
+        F.col("p_partkey") % 3 == 0, F.replace("file", F.lit(".py"), F.lit("/__init__.py")))
+        .otherwise(F.col("file")))
     one = (sym.groupBy("repo", F.col("name").alias("qualname"), "file").agg(
         F.min_by(F.struct("p_partkey", "line_count"), "p_partkey").alias("d"))
         .select("repo", "qualname", "file", F.col("d.p_partkey").alias("pos"),
                 F.lit(1).alias("start_line"), F.col("d.line_count").alias("end_line")))
     return unique_symbols(one).select("qualname", "file", F.col("line_count").cast("int")
-                                      .alias("line_count"), F.col("ord.file").alias("first_file"))
+                                      .alias("line_count"), F.array_join("ord.parts", "/").alias("first_file"))
 
 
 # ---- written text --------------------------------------------------------------------------------

@@ -234,19 +234,18 @@ def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # What a failed claim is answered with.
 FAILED = """
-SELECT repo, k || '#2' AS claim_id, '''Order' || k || ''' does not call ''place_' || k ||
-  '''. Verified calls from ''Order' || k || ''': none' AS detail FROM ord
-UNION ALL SELECT repo, k || '#6', '''normalize'' does not call ''audit''. Verified calls from '
-  || '''normalize'': none' FROM ord
-UNION ALL SELECT repo, k || '#7', '''place_' || k || ''' does not call ''shop.base.Base''. Verified '
-  || 'calls from ''place_' || k || ''': [''Order' || k || ''', ''normalize''' ||
-  CASE WHEN n = 1 THEN ', ''total''' ELSE '' END || ']' FROM ord JOIN per USING (repo)
-UNION ALL SELECT repo, k || '#22', 'place_' || k || '() has no parameter ''rate''. Real parameters: '
-  || 'opts, qty. ''rate'' is a parameter of total.' FROM ord
-UNION ALL SELECT repo, k || '#11', '''place_' || k || ''' is not at ''o' || k || '.py:3''. Actually at '
-  || file || ':15' FROM ord
-UNION ALL SELECT repo, k || '#14', '''place_' || k || ''' is not at ''other/cart.py''. Actually at '
-  || file || ':15' FROM ord"""
+SELECT repo, k || '#2' AS claim_id, 'no call leads from ''Order' || k || ''' to ''place_' || k ||
+  '''. It calls nothing here.' AS detail FROM ord
+UNION ALL SELECT repo, k || '#6', 'no call leads from ''normalize'' to ''audit''. It calls nothing here.' FROM ord
+UNION ALL SELECT repo, k || '#7', 'no call leads from ''place_' || k || ''' to ''shop.base.Base''. What it '
+  || 'calls: ''Order' || k || ''', ''normalize''' || CASE WHEN n = 1 THEN ', ''total''' ELSE '' END || '.'
+  FROM ord JOIN per USING (repo)
+UNION ALL SELECT repo, k || '#22', 'place_' || k || '() takes opts, qty, but no ''rate''. That belongs to total.'
+  FROM ord
+UNION ALL SELECT repo, k || '#11', '''place_' || k || ''' stands in ' || file || ':15, not in ''o' || k || '.py:3'''
+  FROM ord
+UNION ALL SELECT repo, k || '#14', '''place_' || k || ''' stands in ' || file || ':15, not in ''other/cart.py'''
+  FROM ord"""
 
 
 @query(f"WITH {SHOP_EDGE} {FAILED}")
@@ -273,13 +272,13 @@ def review_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CLAIM_SQL}, w AS (SELECT 'c' || o_custkey AS repo, o_orderkey, i,
-  CASE i WHEN 5 THEN 'a call from ''normalize'' to ''audit'' was extracted from a sentence naming neither, so it cannot be attributed'
-         WHEN 9 THEN '''Order Handling'' is not a symbol in this repository'
+  CASE i WHEN 5 THEN 'the quoted words name neither ''normalize'' nor ''audit''; their call is not theirs to claim'
+         WHEN 9 THEN 'nothing defined here is called ''Order Handling'''
          ELSE i || ' ' || o_orderkey END AS detail
   FROM orders, claim WHERE severity = 'warning'),
 o AS (SELECT repo, detail, min((o_orderkey, i)) AS "at" FROM w GROUP BY repo, detail)
 SELECT repo, rank, total, common FROM (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY "at") AS rank,
-  count(*) OVER (PARTITION BY repo) AS total, detail LIKE '%Order Handling%' OR detail LIKE '%naming neither%' AS common
+  count(*) OVER (PARTITION BY repo) AS total, detail LIKE '%Order Handling%' OR detail LIKE '%name neither%' AS common
   FROM o) WHERE rank <= 8""")
 def first_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warnings once each, first seen first, eight per repository and the number of all."""
@@ -289,7 +288,7 @@ def first_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = reviews.first_warnings(issues)
     return top.select("repo", F.col("rank").cast("long").alias("rank"), "total",
                       (F.col("detail").contains("Order Handling")
-                       | F.col("detail").contains("naming neither")).alias("common"))
+                       | F.col("detail").contains("name neither")).alias("common"))
 
 
 @query(f"""WITH {SHOP}

@@ -9,7 +9,7 @@ from ..functions import fixed, text
 from ..operators import dependencies, findings, modules, retrieval, reviews
 from ..operators.symbols import language, module_qualname
 from ..schemas import _st
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from ..sources import code_tree, manifests
 from . import corpus
 from .registry import query
@@ -103,7 +103,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_off) AS
   CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_parts, CAST(line_off AS INTEGER) AS line_off,
   md5(body) AS body FROM every""")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(corpus.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
     return (retrieval.with_windows(d, F.col("text"))
             .select("doc_id", "part", "n_parts", "line_off", F.md5("window").alias("body")))
 
@@ -304,9 +304,9 @@ def review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN toxic = 1 THEN '- [error] false-call: about ' || lang || chr(10) ||
-  '  (from your text: "said so")' || CASE WHEN quality = 0 THEN chr(10) ELSE '' END ELSE '' END ||
+  '  about: "said so"' || CASE WHEN quality = 0 THEN chr(10) ELSE '' END ELSE '' END ||
   CASE WHEN quality = 0 THEN '- [warning] unverifiable: about ' || lang || chr(10) ||
-  '  (from your text: "said so")' ELSE '' END AS text
+  '  about: "said so"' ELSE '' END AS text
 FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 OR quality = 0""")
 def feedback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.feedback(label_issues(spark, sf_dir), ["doc_id"])
@@ -445,11 +445,11 @@ SELECT 's' || k AS repo,
        WHEN n >= 16 THEN 'requirements.txt' ELSE '' END AS dep_source,
   CASE WHEN n < 12 OR n % 2 = 0 OR n >= 16 THEN 2 ELSE 0 END AS total_deps,
   concat_ws('|', CASE WHEN n % 2 = 0 THEN 'run' || k || '=pkg' || k || ':main' END,
-    CASE WHEN n < 8 THEN 'js' || k || '=cli' || k || '.js' WHEN n < 12 THEN 'go' || k || '=go.js' END) AS console_scripts,
+    CASE WHEN n < 8 THEN CASE WHEN n % 2 = 0 THEN 'py' ELSE 'js' END || k || '=cli' || k || '.js' WHEN n < 12 THEN 'go' || k || '=go.js' END) AS console_scripts,
   'pip install repo' || k || '|uv add repo' || k AS install_cmds, 'python' AS usage_lang,
   'import repo' || k || chr(10) || 'print(repo' || k || '.run())' AS usage_block, 'README.md' AS readme,
   CASE WHEN n < 5 THEN 'pkg/__main__.py|' ELSE '' END || 'pkg/tool.py' AS runnable_modules, n > 20 AS has_tests,
-  CASE WHEN n >= 8 AND n < 12 THEN 'A workspace monorepo. The dependencies below are packages/b/package.json, its largest package.'
+  CASE WHEN n >= 8 AND n < 12 THEN 'Several packages in one tree; the dependencies are those of packages/b/package.json, which has most.'
        ELSE '' END AS workspace_note, n < 12 AS is_node
 FROM s""")
 def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,11 +498,11 @@ def vector_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 prop AS (SELECT vec_id, 'pkg' || vec_id AS dependency, unnest(['pkg' || (vec_id + 7), 'pkg' || (vec_id - 1), 'nope' || vec_id])
     AS candidate, unnest([0, 1, 2]) AS ord FROM embeddings)
 SELECT 'r' || vec_id AS repo, dependency, candidate, CASE
-  WHEN c.name IS NULL THEN 'not on PyPI'
-  WHEN c.requires = dependency THEN 'builds on ' || dependency
-  WHEN c.summary LIKE 'Deprecated%' THEN 'its own PyPI page says not to use it'
+  WHEN c.name IS NULL THEN 'no such package'
+  WHEN c.requires = dependency THEN 'needs ' || dependency || ' itself'
+  WHEN c.summary LIKE 'Deprecated%' THEN 'given up by its authors'
   WHEN c.summary <> '' AND d.summary <> '' AND round(list_dot_product(c.v, d.v), 3) < 0.33
-    THEN 'does something else, ' || printf('%.2f', round(list_dot_product(c.v, d.v), 3)) END AS rejected
+    THEN 'another purpose, similarity ' || printf('%.2f', round(list_dot_product(c.v, d.v), 3)) END AS rejected
 FROM prop LEFT JOIN pkg c ON c.name = candidate LEFT JOIN pkg d ON d.name = dependency""")
 def alternatives_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = corpus.table(spark, sf_dir, "embeddings").select("vec_id")

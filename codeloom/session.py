@@ -56,13 +56,6 @@ def as_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame that has fewer partitions than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
-    return df.repartition(cores) if few else df
-
-
 def ordinal(*cols: str | Column) -> Column:
     """Comparable position key: structs compare field by field."""
     return F.struct(*cols)

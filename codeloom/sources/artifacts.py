@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed
@@ -54,13 +55,16 @@ def save(df: DataFrame, root: str, kind: str) -> None:
 
 
 def load(spark: SparkSession, root: str, kind: str, repo: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{root}/{kind}")
+    stored = spark.read.option("mergeSchema", "false").parquet(f"{root}/{kind}").schema
+    named = T.StructType([T.StructField("repo", T.StringType()) if f.name == "repo" else f for f in stored])
+    # Declared, because a name such as 007 would be read as a number from its folder.
+    df = spark.read.schema(named).parquet(f"{root}/{kind}")
     return df if repo is None else df.where(F.col("repo") == repo)
 
 
 def saved_repos(spark: SparkSession, root: str) -> DataFrame:
     """Repositories with a finished run."""
-    return load(spark, root, "map").select(F.col("repo").cast("string").alias("repo")).distinct()
+    return load(spark, root, "map").select("repo").distinct()
 
 
 def load_all(spark: SparkSession, root: str, repo: str) -> dict[str, DataFrame]:
@@ -79,8 +83,9 @@ def load_all(spark: SparkSession, root: str, repo: str) -> dict[str, DataFrame]:
 
 
 def save_markdown(df: DataFrame, root: str, kind: str = "final") -> None:
-    """One text file per repository, written by the tasks."""
+    """One text file per repository, written by the tasks; other repositories' files stay."""
     (df.select("repo", F.col("body").alias("value")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")
      .option("lineSep", "\n").partitionBy("repo").text(f"{root}/{kind}"))
 
 

@@ -74,7 +74,7 @@ def test_loop_finds_and_removes_what_is_false(spark, files, tree):
     kept = code_tree.source_files(files)
     body = render.build_documents(st, manifests.read_manifest(files, kept), kept).first().body
     for head in ("# plot", "## Contents", "## Getting started", "## Architecture", "```mermaid",
-                 "## Symbol reference", "## Verification report", "## What this does not cover"):
+                 "## Symbol reference", "## Verification report", "## Limits"):
         assert head in body
     out = str(tree.parent / "out")
     from codeloom.operators.modules import surface_counts
@@ -93,8 +93,7 @@ def test_findings_order(garden, files):
     assert {r.ord for r in f} == {0, 1, 3, 4, 5}
     body = findings.findings_markdown(findings.findings(
         garden.symbols, garden.edges, garden.exports, files.select("repo", "path"))).first().body
-    good = ["No obviously", "No files", "Has a test suite, 1 test file",
-            "Type hints on 100%"]
+    good = ["Every private", "No two files", "Tests in 1 file", "100% of signatures"]
     assert [any(g in ln for g in good) for ln in body.splitlines()] == sorted(
         any(g in ln for g in good) for ln in body.splitlines())
 
@@ -107,7 +106,7 @@ def test_examples_prefer_calls(spark, files):
     assert [(r.uses, r.name) for r in got] == [("water", "test_water"), ("water", "test_long")]
 
 
-def test_answer_states(spark, garden):
+def test_answer_states(spark, garden, files):
     e = retrieval.HashingEmbedder(32)
     vectors = e.embed(retrieval.build_chunks(garden.symbols, garden.edges), "text")
     q = list(e.embed(spark.createDataFrame([("water",)], "text string"), "text").first()["embedding"])
@@ -117,9 +116,20 @@ def test_answer_states(spark, garden):
         return FunctionCompleter(lambda prompts: [said] * len(prompts))
 
     one = lambda c, v=vectors: document.ask("how", garden, v, q, c, verify=False).first()
-    assert one(reply("background")).provenance.startswith("general knowledge")
+    assert one(reply("background")).provenance.startswith("from general knowledge")
     assert one(reply("odd")).coverage == "grounded"
+    from codeloom.operators.callgraph import analyze_files
+    tests = analyze_files(code_tree.test_sources(files)).symbols
+    named = FunctionCompleter(lambda prompts: [json.dumps({
+        "answer": "see `water()`", "coverage": "grounded" if "(a garden)" in prompts[0] else "background"})] * len(prompts))
+    about = spark.createDataFrame([("plot", "a garden")], "repo string, summary string")
+    full = document.ask("how", garden, vectors, q, named, verify=False, tests=tests, summaries=about).first()
+    assert full.sources[0].score == full.best_score and "garden.water" in {s.qualname for s in full.sources}
+    assert full.example.startswith("def test_water")
+    told = document.ask("how", garden, vectors, q, reply("background"), verify=False, tests=tests).first()
+    assert told.example is None and told.sources
     none = one(reply("grounded"), vectors.where("false"))
+    assert none.sources is None
     assert none.coverage == "insufficient" and none.best_score == 0.0
 
 
@@ -132,3 +142,28 @@ def test_failed_reply_is_marked(spark, garden):
 
     out = generation.describe_symbols(notes, garden.symbols, garden.edges, FunctionCompleter(broken))
     assert {(r.purpose, r.confidence) for r in out.collect()} == {("(failed: no valid reply)", "low")}
+
+
+def test_command_line_keeps_every_row(spark, tree, tmp_path, capsys):
+    from codeloom import cli
+    cli.main(["files", str(tree)])
+    assert len(capsys.readouterr().out.splitlines()) == 4
+    cli.main(["files", str(tree), "--limit", "3"])
+    assert capsys.readouterr().out.splitlines()[-1].startswith("... 1 more rows")
+    cli.main(["manifest", str(tree)])
+    said = capsys.readouterr().out
+    assert "examples/demo" not in said and "src/plot/__main__.py" in said
+    cli.main(["rank", str(tree), "--subdir", "web", "--out", str(tmp_path)])
+    rows = [json.loads(ln) for f in tmp_path.glob("rank/*.json") for ln in f.read_text().splitlines()]
+    assert [r["qualname"] for r in rows] == ["web.ui.Ui"]
+    for _ in range(2):
+        cli.main(["search", str(tree), "water", "--out", str(tmp_path)])
+        hits = [json.loads(ln) for f in tmp_path.glob("search/*.json") for ln in f.read_text().splitlines()]
+        assert len(hits) == 5
+
+
+def test_packaging_is_read_once(spark, tree):
+    listed = code_tree.list_tree(spark, str(tree))
+    plan = manifests.read_manifest(code_tree.contents(listed.where(code_tree.packaging())), None, listed)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in text  # the content is a stored table by now
