@@ -46,6 +46,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
 
     common = (lines.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"))
               .where(F.col("n") >= min_docs).select("h1", "h2"))
+    common = as_table(common)  # a side of its own, so that the lines of a very common one are split
     dropped = (lines.join(common, ["h1", "h2"], "left_semi")
                .groupBy("t1", "t2").agg(F.collect_set("at").alias("dropped")))
 
