@@ -154,6 +154,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     content per task. Class sizes are counted on ids alone, with partial sums.
     """
     rows = duplicate_classes(docs, doc_id, text)
+    # A table of its own, so that the rows of a large class are split where they meet it.
     groups = rows.groupBy("digest", "ordinal").agg(F.max("doc_id").alias("keep_id"),
                                                    F.count("*").alias("group_size"))
-    return rows.join(groups, ["digest", "ordinal"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return rows.join(as_table(groups), ["digest", "ordinal"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
