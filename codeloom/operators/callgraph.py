@@ -125,11 +125,9 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     The lookup side has one row per (repo, name), so a very common name costs a
     skewed probe side only, which AQE splits.
     """
-    by_self = resolve_self_calls(sites, symbols)
-    flagged = sites.withColumn("on_self", _on_self())
-    sites = (flagged.where("on_self").join(by_self, ["repo", "caller", "simple"], "left")
-             .unionByName(flagged.where("not on_self")
-                          .withColumn("target", F.lit(None).cast("string"))))
+    sites = cut_lineage(sites.withColumn("on_self", _on_self()))
+    by_self = resolve_self_calls(sites, symbols).withColumn("on_self", F.lit(True))
+    sites = sites.join(by_self, ["repo", "caller", "simple", "on_self"], "left")
     open_calls = sites.where(F.col("target").isNotNull()
                              | ~F.col("simple").isin(*fixed.BUILTINS))
     looked = open_calls.join(name_index(symbols), ["repo", "simple"], "left")

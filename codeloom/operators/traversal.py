@@ -27,7 +27,7 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int = fixed.MAX_PHASES) -> D
             .distinct().join(seen, ["repo", "start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # every level is written once
     return seen
 
 
@@ -65,7 +65,7 @@ def diagram_nodes(notes: DataFrame, edges: DataFrame,
                                        (F.col("rank") + F.col("taken")).cast("int").alias("place")))
         if frontier.isEmpty():
             return chosen
-        chosen = cut_lineage(chosen.unionByName(frontier))
+        chosen = chosen.unionByName(frontier)
 
 
 def diagram_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
