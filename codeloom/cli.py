@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import callgraph, findings, modules, retrieval, symbols
 from .operators.ranking import rank_symbols
 from .operators.symbols import Analysis, exported_names
 from .plans import document, render
-from .session import as_table, build_session
+from .session import as_table, build_session, drop_tables
 from .sources import artifacts, code_tree, manifests
 from .streaming.progress import follow
 
@@ -46,6 +46,14 @@ def _manifest(listed: DataFrame) -> DataFrame:
 
 
 def main(argv: list[str] | None = None) -> None:
+    spark = build_session()
+    try:
+        run(spark, argv)
+    finally:
+        drop_tables(spark)
+
+
+def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="codeloom", description=__doc__)
     p.add_argument("command", choices=("files", "analyze", "rank", "findings", "manifest",
                                        "document", "search", "ask"))
@@ -59,7 +67,6 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out", default="", help="folder for results; the screen without it")
     p.add_argument("--limit", type=int, default=0, help="rows on the screen; all without it")
     args = p.parse_args(argv)
-    spark = build_session()
     listed = as_table(code_tree.list_tree(spark, args.root, args.corpus))
     if args.command == "files":
         kept = code_tree.source_files(listed, subdir=args.subdir)

@@ -45,6 +45,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that this process has written with as_table and not dropped yet.
+_TABLES: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables of this process; call it when no frame of a run is read any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def as_table(df: DataFrame) -> DataFrame:
     """Write once as Parquet in the shared folder and read back.
 
@@ -53,6 +65,7 @@ def as_table(df: DataFrame) -> DataFrame:
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    _TABLES.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -144,8 +144,21 @@ def test_failed_reply_is_marked(spark, garden):
     assert {(r.purpose, r.confidence) for r in out.collect()} == {("(failed: no valid reply)", "low")}
 
 
-def test_command_line_keeps_every_row(spark, tree, tmp_path, capsys):
+def test_tables_of_a_run_are_dropped(spark, monkeypatch):
+    import os
+
+    from codeloom import session
+    monkeypatch.setattr(session, "_TABLES", [])
+    kept = session.as_table(spark.range(3))
+    folder = session._TABLES[0].removeprefix("file:")
+    assert kept.count() == 3 and os.path.isdir(folder)
+    session.drop_tables(spark)
+    assert not os.path.exists(folder) and not session._TABLES
+
+
+def test_command_line_keeps_every_row(spark, tree, tmp_path, capsys, monkeypatch):
     from codeloom import cli
+    monkeypatch.setattr(cli, "drop_tables", lambda spark: None)  # other tests still read theirs
     cli.main(["files", str(tree)])
     assert len(capsys.readouterr().out.splitlines()) == 4
     cli.main(["files", str(tree), "--limit", "3"])
