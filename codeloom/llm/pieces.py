@@ -6,7 +6,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,20 +21,21 @@ SPACE = "▁"
 _LITERAL = "\udc81"  # a SPACE that stands in the text itself; no valid text holds this
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NEVER = 1 << 60
-_MASK = (1 << 64) - 1
-#: Chunks up to this length are merged by scanning, longer ones with a heap.
+#: Parts up to this length are merged by scanning, longer ones with a heap.
 _SCAN = 48
-#: Segmentations that a chunk may have, and how many a Python worker remembers.
-VARIANTS, CACHE = 4, 500_000
+#: Parts that a Python worker remembers.
+CACHE = 400_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_pieces", pa.int64())])
 
 
 class Pieces:
     """A merge vocabulary with byte fallback.
 
-    Candidate merges wait on an agenda, best piece first, leftmost among equals. A candidate is skipped for
-    good if a hash keyed by seed, variant, chunk and its place falls below `dropout`. Pieces never cross
-    from other signs into a space mark, so chunks that begin at white space are merged one by one.
+    Candidate merges wait on an agenda, best piece first, leftmost among equals. A candidate joins two
+    neighbours at a place of the text, and is skipped if the hash of that place, keyed by seed and document,
+    falls below `dropout`. Candidates at one place share its number, so what lies between skipped places
+    can be merged by itself, and equal parts give equal pieces wherever they stand. Pieces never cross from
+    other signs into a space mark either, so there the text falls into parts as well.
     """
 
     def __init__(self, file: str, dropout: float, seed: int) -> None:
@@ -51,38 +52,36 @@ class Pieces:
             self.bytes[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
-        self.below, self.seed = int(dropout * (1 << 32)), seed
-        self.known: dict[tuple[str, int], bytes] = {}
-
-    def _rank(self, key: int, left: str, right: str, start: int, split: int, end: int) -> int:
-        """Rank of a candidate merge; _NEVER if there is no such piece or the hash skips it."""
-        r = self.rank.get(left + right, _NEVER)
-        if r != _NEVER and self.below:
-            mixed = (key ^ (start * 0x9E3779B97F4A7C15 + split * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9)) & _MASK
-            mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-            if mixed >> 32 < self.below:
-                return _NEVER
-        return r
-
-    def _scan(self, chunk: str, key: int) -> list[str]:
-        parts, at = list(chunk), list(range(len(chunk) + 1))
-        ranks = [self._rank(key, parts[i], parts[i + 1], i, i + 1, i + 2) for i in range(len(parts) - 1)]
+        self.below, self.seed = round(dropout * (1 << 16)), seed
+        self.known: dict[str, bytes] = {}
+
+    def _scan(self, part: str) -> list[str]:
+        """Short parts: the best candidate is looked for among all."""
+        rank, pieces = self.rank, list(part)
+        ranks = [rank.get(a + b, _NEVER) for a, b in zip(pieces, pieces[1:], strict=False)]
         while ranks and (best := min(ranks)) != _NEVER:
             i = ranks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del at[i + 1], ranks[i]
+            new = pieces[i] = pieces[i] + pieces.pop(i + 1)
+            del ranks[i]
             if i < len(ranks):
-                ranks[i] = self._rank(key, parts[i], parts[i + 1], at[i], at[i + 1], at[i + 2])
+                ranks[i] = rank.get(new + pieces[i + 1], _NEVER)
             if i:
-                ranks[i - 1] = self._rank(key, parts[i - 1], parts[i], at[i - 1], at[i], at[i + 1])
-        return parts
+                ranks[i - 1] = rank.get(pieces[i - 1] + new, _NEVER)
+        return pieces
 
-    def _heap(self, chunk: str, key: int) -> list[str]:
-        n = len(chunk)
+    def _heap(self, part: str) -> list[str]:
+        """Long parts: candidates wait in a heap, and pieces are a linked list."""
+        n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda a, b, c: self._rank(key, chunk[a:b], chunk[b:c], a, b, c)
-        agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(i, i + 1, i + 2)) != _NEVER]
-        heapify(agenda)
+        agenda: list[tuple[int, int, int, int]] = []
+
+        def propose(a: int, b: int, c: int) -> None:
+            r = self.rank.get(part[a:c])
+            if r is not None:
+                heappush(agenda, (r, a, b, c))
+
+        for i in range(n - 1):
+            propose(i, i + 1, i + 2)
         while agenda:
             _, a, b, c = heappop(agenda)
             if after[a] != b or b >= n or after[b] != c:
@@ -90,51 +89,55 @@ class Pieces:
             after[a], after[b] = c, -1
             if c < n:
                 before[c] = a
-                d = after[c]
-                if (r := rank(a, c, d)) != _NEVER:
-                    heappush(agenda, (r, a, c, d))
+                propose(a, c, after[c])
             if before[a] >= 0:
-                z = before[a]
-                if (r := rank(z, a, c)) != _NEVER:
-                    heappush(agenda, (r, z, a, c))
+                propose(before[a], a, c)
         out, a = [], 0
         while a < n:
-            out.append(chunk[a:after[a]])
+            out.append(part[a:after[a]])
             a = after[a]
         return out
 
-    def _encode(self, chunk: str, variant: int) -> bytes:
-        key = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
+    def _encode(self, part: str) -> bytes:
         out = array("I")
-        for part in (self._scan if len(chunk) <= _SCAN else self._heap)(chunk, key):
-            i = self.id.get(part)
+        for piece in (self._scan if len(part) <= _SCAN else self._heap)(part):
+            i = self.id.get(piece)
             if i is not None:
                 out.append(i)
             else:
-                out.extend(self.byte[b] for b in part.replace(_LITERAL, SPACE).encode())
+                out.extend(self.byte[b] for b in piece.replace(_LITERAL, SPACE).encode())
         return out.tobytes()
 
+    def skipped(self, n: int, doc: int) -> np.ndarray:
+        """Places 1 to n - 1 of a text of n signs at which no merge is made."""
+        first = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), self.seed)
+        with np.errstate(over="ignore"):
+            x = np.uint64(first) + np.arange(1, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.flatnonzero((x >> np.uint64(48)) < self.below) + 1
+
+    def parts(self, marked: str, doc: int) -> list[str]:
+        """The parts of a text with space marks that are merged by themselves."""
+        if not self.below:
+            return _CHUNK.findall(marked)
+        signs = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32) == ord(SPACE)
+        ends = np.union1d(np.flatnonzero(signs[1:] & ~signs[:-1]) + 1, self.skipped(len(marked), doc)).tolist()
+        return [marked[a:b] for a, b in zip([0, *ends], [*ends, len(marked)], strict=True)]
+
     def encode(self, text: str, doc: int) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes; doc and place choose the variant of each chunk."""
+        """Ids as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        chunks = _CHUNK.findall(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE))
-        if not self.below:
-            keys = [(c, 0) for c in chunks]
-        else:
-            first = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), self.seed)
-            with np.errstate(over="ignore"):
-                x = np.uint64(first) + np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            keys = list(zip(chunks, ((x >> np.uint64(40)) % np.uint64(VARIANTS)).tolist(), strict=True))
-        known, out = self.known, []
-        for k in keys:
-            ids = known.get(k)
-            if ids is None:
-                ids = self._encode(*k)
-                if len(known) < CACHE and len(k[0]) < 64:
-                    known[k] = ids
-            out.append(ids)
+        known = self.known
+        parts = self.parts(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE), doc)
+        out = list(map(known.get, parts))
+        if None in out:
+            for k, part in enumerate(parts):
+                if out[k] is None:
+                    out[k] = ids = known.get(part) or self._encode(part)
+                    if len(known) < CACHE and len(part) < 64:
+                        known[part] = ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -153,8 +156,8 @@ def encode_documents(docs: DataFrame, file: str, dropout: float = 0.1, seed: int
                      text: str = "text") -> DataFrame:
     """doc_id, ids (little-endian uint32), n_pieces: one row per input row.
 
-    Each candidate merge is skipped with probability `dropout`, by a keyed hash: the same seed, doc_id and
-    text always give the same ids, copies under other ids give others. With dropout 0 the ids are those of
+    Each candidate merge is skipped with probability `dropout`, by a keyed hash of its place: the same seed,
+    doc_id and text always give the same ids, copies under other ids give others. With dropout 0 the ids are those of
     the vocabulary's own encoder, but for a literal space mark, which is written in bytes so that it comes
     back. Null and empty texts have no pieces. A null doc_id counts as -1. Repeated rows repeat.
     """
