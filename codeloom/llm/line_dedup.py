@@ -49,6 +49,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
     common = as_table(common)  # a side of its own, so that the lines of a very common one are split
     dropped = (lines.join(common, ["h1", "h2"], "left_semi")
                .groupBy("t1", "t2").agg(F.collect_set("at").alias("dropped")))
+    dropped = as_table(dropped)  # likewise, so that the rows of a text with very many copies are split
 
     own = without(docs, "kept_text", "n_lines", "n_dropped")
     row = docs.select(F.struct(*own).alias("row") if own else F.struct(F.lit(0).alias("none")).alias("row"),
