@@ -34,15 +34,20 @@ class Kind:
     gain: float
     base: bool = True                           # base spans stay whatever their score
     mark: str = ""                              # separators replaced by JOIN before matching
+    cut: Callable[[Column], Column] | None = None   # of a match and its group 1 (looked ahead at): the part that counts
 
 
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _compact(m: Column) -> Column:
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
 def _mod97(m: Column) -> Column:
     """The remainder of an account number: first four characters last, letters as 10 to 35."""
-    compact = F.replace(m, F.lit(" "), F.lit(""))
+    compact = _compact(m)
     turned = F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4)))
     signs = F.lit(string.digits + string.ascii_uppercase)
     rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda a, c: (
@@ -50,6 +55,29 @@ def _mod97(m: Column) -> Column:
     return (rest == 1) & F.length(compact).between(15, 34)
 
 
+#: Characters of an account number by country.
+_LENGTHS = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in names.split()}
+
+
+def _account(run: Column) -> Column:
+    """The account number that a run of upper-case words and numbers begins with, or null.
+
+    It ends where a word ends, at the length of its country; of a country not listed it is the longest
+    part whose checksum is right.
+    """
+    known = F.create_map(*[F.lit(x) for pair in _LENGTHS.items() for x in pair])
+    words = F.split(run, " ")
+    parts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    size = lambda p: F.length(_compact(p))
+    fits = F.filter(parts, lambda p: size(p).between(15, 34) & (
+        size(p) == F.coalesce(known[F.left(p, F.lit(2))], size(p))) & p.rlike("^[A-Z0-9 ]+$") & _mod97(p))
+    return F.get(fits, F.size(fits) - 1)
+
+
 KINDS = (
     Kind("email", "@", rf"(?:(?<![A-Za-z0-9._%+{JOIN}-])|\G)[A-Za-z0-9._%+{JOIN}-]++@"
          rf"[A-Za-z0-9-]++{JOIN}[A-Za-z0-9{JOIN}-]++", lambda m: F.lit(True), 0.9,
@@ -65,8 +93,8 @@ KINDS = (
          lambda m: F.length(_digits(m)).between(10, 15), 0.6,
          r"(?i)phone|call|mobile|fax|tel\b|telefon|t[ée]l[ée]phone|m[óo]vil", 0.3),
     Kind("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
-         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _mod97, 0.9,
-         r"(?i)iban|account|bank|konto|compte|cuenta", 0.1, base=False),
+         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}[A-Za-z0-9]?))", lambda m: m.isNotNull(), 0.9,
+         r"(?i)iban|account|bank|konto|compte|cuenta", 0.1, base=False, cut=_account),
     Kind("national_id", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
          lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.4,
          r"(?i)\bssn\b|social security|tax id|taxpayer", 0.5, base=False),
@@ -99,16 +127,24 @@ def _spans_of(df: DataFrame, k: Kind) -> DataFrame:
           .withColumn("__hit", F.when(F.size("__hit") > 0, F.col("__hit")))
           .withColumn("__gap", F.when(F.col("__hit").isNotNull(), F.split("__marked", k.pattern, -1))))
     df = _running(df, F.transform("__hit", lambda m, i: F.length(m) + F.length(F.get("__gap", i))), "__before")
-    near = lambda i: F.concat(F.right(F.get("__gap", i), F.lit(CONTEXT)), F.lit("\n"),
-                              F.left(F.get("__gap", i + 1), F.lit(CONTEXT)))
-    score = lambda i: F.lit(k.score) + F.when(near(i).rlike(k.context), k.gain).otherwise(0.0)
+    if k.cut:  # the pattern takes no more than the start, so that each start is looked at
+        ahead = F.regexp_extract_all("__marked", F.lit(k.pattern), F.lit(1))
+        df = df.withColumn("__found", F.when(F.col("__hit").isNotNull(), F.zip_with(
+            "__hit", ahead, lambda m, more: k.cut(F.concat(m, more)))))
+    found = lambda m, i: F.get("__found", i) if k.cut else m
+    after = lambda m, i: F.substr(
+        F.get("__gap", i + 1), F.length(found(m, i)) - F.length(m) + 1) if k.cut else F.get("__gap", i + 1)
+    near = lambda m, i: F.concat(F.right(F.get("__gap", i), F.lit(CONTEXT)), F.lit("\n"),
+                                 F.left(after(m, i), F.lit(CONTEXT)))
+    score = lambda m, i: F.lit(k.score) + F.when(near(m, i).rlike(k.context), k.gain).otherwise(0.0)
     start = lambda i: F.get("__before", i) + F.length(F.get("__gap", i))
-    spans = F.transform("__hit", lambda m, i: F.when(k.valid(m), F.struct(
+    spans = F.transform("__hit", lambda m, i: F.when(k.valid(found(m, i)), F.struct(
         start(i).alias("start"), F.lit(KINDS.index(k)).alias("place"), F.lit(k.name).alias("kind"),
-        (start(i) + F.length(m)).alias("end"), F.round(score(i), 3).alias("score"),
+        (start(i) + F.length(found(m, i))).alias("end"), F.round(score(m, i), 3).alias("score"),
         F.lit(k.base).alias("base"))))
     stays = lambda s: s.isNotNull() & (s["base"] | (s["score"] >= THRESHOLD))
-    return df.withColumn(f"__{k.name}", F.filter(spans, stays)).drop("__marked", "__hit", "__gap", "__before")
+    return df.withColumn(f"__{k.name}", F.filter(spans, stays)).drop(
+        "__marked", "__hit", "__gap", "__before", "__found")
 
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:

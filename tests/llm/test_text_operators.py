@@ -95,6 +95,18 @@ def test_pii_added_kinds_and_redaction(spark):
     assert masked == ["IBAN [IBAN] ok", texts[1], "my ssn is [NATIONAL_ID]", texts[3], "[EMAIL] [EMAIL]", None, "plain"]
 
 
+def test_pii_account_number_before_other_words(spark):
+    n, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = {f"IBAN {n} BIC: COBADEFF": [n], f"{spaced} BIC COBADEFF": [spaced], f"to {n} I sent": [n],
+             f"{spaced} Isent": [spaced], f"{n}, then": [n], f"BE12 CDEF {spaced} {gb} 100 EUR": [spaced, gb],
+             f"é {n} {n} X": [n, n], f"{n}I": [], f"{n[:-1]}1 BIC": [], f"x{n} BIC": [], n: [n],
+             "ZZ22370400440532013000 AND MORE": ["ZZ22370400440532013000"]}
+    rows = find_pii(frame(spark, list(texts))).orderBy("doc_id").collect()
+    for x, (text, want) in zip(rows, texts.items(), strict=True):
+        assert [text[s.start:s.end] for s in x.pii if s.kind == "iban"] == want, text
+    assert {s.score for s in rows[0].pii} == {1.0} and {s.score for s in rows[2].pii} == {0.9}
+
+
 def test_pii_many_matches(spark):
     text = " ".join(f"u{i}@h.io" for i in range(3000))
     got = find_pii(frame(spark, [text])).select(as_text(F.col("pii")).alias("s")).first().s
