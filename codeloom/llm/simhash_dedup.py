@@ -265,12 +265,17 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 4) -> DataFrame:
+    """The documents with the smallest doc_id of their component of near fingerprints, see keep_first."""
+    return keep_first(docs, simhash_components(docs, doc_id, text, budget), doc_id, text)
+
+
+def keep_first(docs: DataFrame, components: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the smallest doc_id of their component, with all their columns.
 
     Rows that repeat an id are one document if their texts are equal, and one row of them stays. Documents
     without an id stay if nothing in their component has one.
     """
-    found = as_table(simhash_components(docs, doc_id, text, budget))
+    found = as_table(components)
     stay = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__stay"))
             .agg(F.count("*").alias("__rows")))
 
