@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .exact_dedup import exact_dedup
+from .filter_audit import audit, failing_ids, text_conditions
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .pieces import decode_documents, encode_documents
@@ -153,3 +154,35 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_documents(encode_documents(docs, file), file)
     return decoded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"),
                           F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+f AS (SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS fails FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+b(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order,
+             [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM b a, b b, b c, b d, b e
+      WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INT AS before
+      FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN fails & bit <> 0 AND fails & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM x""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failing = failing_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), text_conditions(F.col("text")), repeated="E")
+    return audit(failing, spark.read.parquet(f"{sf_dir}/labels.parquet"))
