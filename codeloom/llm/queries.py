@@ -17,6 +17,7 @@ from .pieces import decode_documents, encode_documents
 from .pii import as_text, find_pii
 from .quality import fit_quality, score_quality
 from .simhash_dedup import as_hex, simhash_components
+from .suffix_tree import score_texts
 from .topk import exact_top_k
 from .toxicity import THRESHOLD as TOXIC
 from .toxicity import fit_toxicity, score_toxicity
@@ -186,3 +187,12 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     failing = failing_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), text_conditions(F.col("text")), repeated="E")
     return audit(failing, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query()
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from all documents but a seventh of the ids, scored on all."""
+    away = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~away)
+    return scored.scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                "base_score", "score", "from_one", "from_two")
