@@ -30,7 +30,7 @@ MIN_SHARE = 1e-5
 #: Nats a token by which a context must beat its suffix, and weight of the suffix in a smoothed distribution.
 KEEP, WEIGHT = 0.01, 8.0
 #: Tokens of a chunk, of which each task holds one at a time, and tokens for each bucket of the counts.
-CHUNK, BUCKET = 1 << 21, 1 << 21
+CHUNK, BUCKET = 1 << 20, 1 << 21
 _END = b" "  # no word holds a blank
 _ORDERS = (0, 1, 2)
 
@@ -62,6 +62,11 @@ def _flat(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def _rising(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps; of those within a bucket the highest bytes are zero."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two, sensitive to their order."""
     h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (a >> np.uint64(29))
@@ -193,11 +198,13 @@ def _blocks(order: int, bits: int, common):
         for row in _rows(incoming):
             c = _Read(row)
             places, keys, _ = c.grams(order, common.value[order - 1][0] if order else None)
-            keys, which = np.unique(keys, return_inverse=True)
-            n = np.bincount(which[c.learn[places]], minlength=len(keys)).astype(np.uint32)
+            learnt, counts = np.unique(keys[c.learn[places]], return_counts=True)
+            keys = np.unique(keys)
+            n = np.zeros(len(keys), np.uint32)
+            n[np.searchsorted(keys, learnt)] = counts
             firsts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits if bits else 0)
             edges = [0, *np.searchsorted(keys, firsts), len(keys)]
-            yield from batches(_BLOCK, ((b, row["chunk"], keys[lo:hi].tobytes(), _planes(n[lo:hi]))
+            yield from batches(_BLOCK, ((b, row["chunk"], _rising(keys[lo:hi]), _planes(n[lo:hi]))
                                         for b, (lo, hi) in enumerate(pairwise(edges)) if hi > lo))
     return work
 
@@ -210,7 +217,7 @@ def _totals(least: float):
             if held and held[0][0] != row["bucket"]:
                 yield from batches(_TOTAL, add(held))
                 held = []
-            held.append((row["bucket"], row["chunk"], np.frombuffer(row["keys"], np.uint64), _flat(row["counts"], np.uint32)))
+            held.append((row["bucket"], row["chunk"], np.cumsum(_flat(row["keys"], np.uint64)), _flat(row["counts"], np.uint32)))
         if held:
             yield from batches(_TOTAL, add(held))
 
