@@ -17,6 +17,7 @@ from .pieces import decode_documents, encode_documents
 from .pii import as_text, find_pii
 from .quality import fit_quality, score_quality
 from .simhash_dedup import as_hex, simhash_components
+from .spelling import spelling_variants, word_counts
 from .suffix_tree import score_texts
 from .topk import exact_top_k
 from .toxicity import THRESHOLD as TOXIC
@@ -196,3 +197,8 @@ def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~away)
     return scored.scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                                 "base_score", "score", "from_one", "from_two")
+
+
+@query()
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
