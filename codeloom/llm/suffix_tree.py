@@ -15,6 +15,7 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ MIN_SHARE = 1e-5
 #: Nats a token by which a context must beat its suffix, and weight of the suffix in a smoothed distribution.
 KEEP, WEIGHT = 0.01, 8.0
 #: Tokens of a chunk, of which each task holds one at a time, and tokens for each bucket of the counts.
-CHUNK, BUCKET = 1 << 20, 1 << 21
+CHUNK, BUCKET = 1 << 19, 1 << 21
 _END = b" "  # no word holds a blank
 _ORDERS = (0, 1, 2)
 
@@ -53,13 +54,14 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """Bytes of one significance side by side, which compress well where numbers are small."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    """Bytes of one significance side by side, compressed: numbers are small or repeat in their high bytes."""
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
 
 
 def _flat(b: bytes, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
 
 
 def _rising(keys: np.ndarray) -> bytes:
@@ -256,66 +258,74 @@ class _Sums:
     distinct: int
 
 
-class _Scores:
-    """Smoothed probabilities of a chunk's tokens from the states of no, one and two words."""
-
-    def __init__(self, row: dict, sums: _Sums, common: list[tuple], weight: float) -> None:
-        self.chunk = c = _Read(row)
-        self.at, self.context, self.n, self.of = [], [], [], []
-        for k in _ORDERS:
-            places, keys, context = c.grams(k, common[k - 1][0] if k else None)
-            which = np.unique(keys, return_inverse=True)[1]
-            self.at.append(places)
-            self.context.append(context)
-            self.n.append(_flat(row[f"totals{k}"], np.int64)[which])
-            self.of.append(common[k - 1][1][_index(common[k - 1][0], context)] if k else None)
-        p = np.ones(len(c.hash))
-        p[c.lead:] = (self.n[0] + 1) / (sums.tokens + sums.distinct + 1)
-        self.p = [p]
-        for k in (1, 2):
-            at = self.at[k]
-            p = self.p[-1].copy()
-            p[at] = (self.n[k] + weight * p[at]) / (self.of[k] + weight)
-            self.p.append(p)
-
-    def gains(self, k: int, weight: float) -> list[np.ndarray]:
-        """Contexts, their suffixes, the training tokens after them here and the gain of these over the suffix."""
-        mine = self.chunk.learn[self.at[k]]
-        at, keys = self.at[k][mine], self.context[k][mine]
-        below = self.p[k - 1][at]
-        p = (self.n[k][mine] - 1 + weight * below) / (self.of[k][mine] - 1 + weight)
-        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        suffix = self.chunk.hash[at[first] - 1] if k == 2 else np.zeros(len(keys), np.uint64)
-        return [np.full(len(keys), k, np.int32), keys.view(np.int64), suffix.view(np.int64),
-                np.bincount(which, minlength=len(keys)), np.bincount(which, weights=np.log(p / below), minlength=len(keys))]
+@dataclass(frozen=True)
+class _State:
+    """Tokens of a chunk after candidate contexts of one length: places, contexts, the counts of the token there and
+    of all tokens there, and the probabilities from the suffix."""
+
+    places: np.ndarray
+    contexts: np.ndarray
+    n: np.ndarray
+    of: np.ndarray
+    below: np.ndarray
+
+
+def _states(c: _Read, row: dict, sums: _Sums, common: list[tuple], weight: float) -> Iterator[tuple[np.ndarray, _State]]:
+    """Probabilities of all tokens from the states of no word, then of up to one and of up to two."""
+    p = np.ones(len(c.hash))
+    for k in _ORDERS:
+        places, keys, contexts = c.grams(k, common[k - 1][0] if k else None)
+        which = np.unique(keys, return_inverse=True)[1]
+        del keys
+        n = _flat(row[f"totals{k}"], np.int64)[which]
+        if k:
+            of, below = common[k - 1][1][_index(common[k - 1][0], contexts)], p[places]
+            p[places] = (n + weight * below) / (of + weight)
+        else:
+            of = below = n
+            p[places] = (n + 1) / (sums.tokens + sums.distinct + 1)
+        yield p, _State(places, contexts, n, of, below)
 
 
 def _gains(sums: _Sums, common, weight: float):
+    """Contexts, their suffixes, the training tokens after them in a chunk and the gain of these over the suffix."""
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(incoming):
-            s = _Scores(row, sums, common.value, weight)
-            for k in (1, 2):
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(s.gains(k, weight), _CONTEXT)],
-                                                 schema=_CONTEXT)
+            c = _Read(row)
+            for k, (_, s) in enumerate(_states(c, row, sums, common.value, weight)):
+                if not k:
+                    continue
+                mine = c.learn[s.places]
+                below = s.below[mine]
+                p = (s.n[mine] - 1 + weight * below) / (s.of[mine] - 1 + weight)
+                keys, first, which = np.unique(s.contexts[mine], return_index=True, return_inverse=True)
+                suffix = c.hash[s.places[mine][first] - 1] if k == 2 else np.zeros(len(keys), np.uint64)
+                columns = [np.full(len(keys), k, np.int32), keys.view(np.int64), suffix.view(np.int64),
+                           np.bincount(which, minlength=len(keys)),
+                           np.bincount(which, weights=np.log(p / below), minlength=len(keys))]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _CONTEXT)], schema=_CONTEXT)
     return work
 
 
 def _score(sums: _Sums, common, states, weight: float):
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(incoming):
-            s = _Scores(row, sums, common.value, weight)
-            c = s.chunk
-            p, depth = s.p[0].copy(), np.zeros(len(c.hash), np.int8)
-            for k in (1, 2):
-                at = s.at[k][_index(states.value[k - 1], s.context[k]) >= 0]
-                p[at], depth[at] = s.p[k][at], k
+            c = _Read(row)
             doc = c.doc[c.lead:]
             total = lambda x: np.bincount(doc, weights=x[c.lead:], minlength=len(c.docs))
-            known = np.zeros(len(c.hash))
-            known[c.lead:] = s.n[0] > 0
+            depth = np.zeros(len(c.hash), np.int8)
+            for k, (p, s) in enumerate(_states(c, row, sums, common.value, weight)):
+                if not k:
+                    known = np.zeros(len(c.hash), bool)
+                    known[s.places] = s.n > 0
+                    base, score = total(np.log10(p)), np.log10(p)
+                else:
+                    held = _index(states.value[k - 1], s.contexts) >= 0
+                    at = s.places[held]
+                    score[at], depth[at] = np.log10(p[at]), k
             columns = [c.docs, pa.array(c.ids, mask=(c.flags & _NAMELESS) > 0), (c.flags & _LEARN) > 0,
-                       np.bincount(doc, minlength=len(c.docs)), total(known).astype(np.int64), total(np.log10(s.p[0])),
-                       total(np.log10(p)), total(depth == 1).astype(np.int64), total(depth == 2).astype(np.int64)]
+                       np.bincount(doc, minlength=len(c.docs)), total(known).astype(np.int64), base, total(score),
+                       total(depth == 1).astype(np.int64), total(depth == 2).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _SCORE)], schema=_SCORE)
     return work
 
