@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import callgraph, findings, modules, ranking, retrieval, traversal
+from ..operators import callgraph, centrality, cycles, findings, modules, ranking, retrieval, traversal
+from ..operators.graph_diff import graph_diff as differences
 from ..session import cut_lineage
 from . import corpus
 from .registry import query
@@ -581,3 +582,128 @@ def reviewed_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     document.stage_write(st, completer)
     document.stage_review(st, completer)
     return st.reviews.select("key", "passed", F.col("errors").cast("int").alias("errors"))
+
+
+# ---- what depends on what, and what changed ---------------------------------------------------
+
+REACH = EDGE + """,
+arc AS (SELECT DISTINCT caller AS a, callee AS b FROM edge WHERE caller <> callee),
+reach AS (SELECT a, b FROM arc UNION SELECT r.a, arc.b FROM reach r JOIN arc ON r.b = arc.a),
+member AS (SELECT q, coalesce(least(q, min(m)), q) AS c FROM (SELECT a AS q FROM arc UNION SELECT b FROM arc)
+  LEFT JOIN (SELECT x.a, x.b AS m FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) ON a = q GROUP BY q),
+step AS (SELECT DISTINCT x.c AS a, y.c AS b FROM arc JOIN member x ON x.q = a JOIN member y ON y.q = b WHERE x.c <> y.c),
+level AS (SELECT DISTINCT c AS f, c AS pos, 0 AS depth FROM member JOIN seed USING (q)
+  UNION SELECT f, step.a, depth + 1 FROM level JOIN step ON step.b = level.pos),
+nearest AS (SELECT f, pos, min(depth) AS depth FROM level GROUP BY f, pos)"""
+
+
+@query(f"""WITH RECURSIVE {REACH.replace("reach AS", "seed AS (SELECT qualname AS q FROM fan ORDER BY fan_in DESC, qualname LIMIT 20), reach AS", 1)}
+SELECT s.q AS qualname, d.q AS dependent, depth FROM seed s JOIN member m ON m.q = s.q JOIN nearest ON f = m.c
+JOIN member d ON d.c = pos WHERE d.q <> s.q""")
+def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that calls the twenty most called definitions, directly or not, and through how many steps."""
+    edges = cut_lineage(_edges(spark, sf_dir).select("repo", "caller", "callee"))
+    called = callgraph.fan_counts(edges).orderBy(F.desc("fan_in"), "qualname").limit(20)
+    return cycles.dependents(called, edges).select("qualname", "dependent", "depth")
+
+
+@query(f"""WITH RECURSIVE {REACH.replace("reach AS", "seed AS (SELECT qualname AS q FROM sym WHERE exported), reach AS", 1)},
+size AS (SELECT c, count(*) AS n FROM member GROUP BY c),
+total AS (SELECT f, sum(n) AS reached, max(depth) AS depth, sum(CASE WHEN depth = 0 THEN n ELSE 0 END) AS own
+          FROM nearest JOIN size ON c = pos GROUP BY f)
+SELECT s.q AS qualname, CAST(coalesce(reached - 1, 0) AS BIGINT) AS dependents, coalesce(depth, 0) AS depth,
+       CAST(coalesce(own - 1, 0) AS BIGINT) AS on_cycle
+FROM seed s LEFT JOIN member m ON m.q = s.q LEFT JOIN total ON f = m.c""")
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = cut_lineage(_edges(spark, sf_dir).select("repo", "caller", "callee"))
+    public = _symbols(spark, sf_dir).where("exported")
+    return cycles.blast_radius(public, edges).select("qualname", "dependents", "depth", "on_cycle")
+
+
+ROUNDS = 15
+
+
+@query(f"""WITH {EDGE},
+arc AS (SELECT caller AS a, callee AS b, 0.85 / count(*) OVER (PARTITION BY caller) AS share
+        FROM (SELECT DISTINCT caller, callee FROM edge WHERE caller <> callee)),
+x0 AS MATERIALIZED (SELECT qualname AS q, 1.0::DOUBLE AS x FROM sym),
+""" + "\n".join(f"""x{i} AS MATERIALIZED (SELECT s.qualname AS q, 1 + coalesce(sum(p.x * share), 0)::DOUBLE AS x
+  FROM sym s LEFT JOIN arc ON b = s.qualname LEFT JOIN x{i - 1} p ON p.q = a GROUP BY s.qualname),"""
+                        for i in range(1, ROUNDS + 1)) + f"""
+seen AS (SELECT l_partkey AS k, year(l_shipdate) AS v, count(*) || ':' || CAST(sum(l_quantity) AS BIGINT) AS f
+         FROM lineitem GROUP BY ALL),
+near AS (SELECT *, lag(v) OVER w AS pv, lag(f) OVER w AS pf, lead(v) OVER w AS nv, max(v) OVER () AS last
+         FROM seen WINDOW w AS (PARTITION BY k ORDER BY v)),
+churn AS (SELECT k, sum((pv IS NOT NULL AND (pv < v - 1 OR pf <> f))::INT + coalesce(nv > v + 1, v < last)::INT) AS changes
+          FROM near GROUP BY k)
+SELECT qualname, round(x / avg(x) OVER (), 9) AS centrality, CAST(coalesce(changes, 0) AS BIGINT) AS changes,
+       round(x / avg(x) OVER () * coalesce(changes, 0), 8) AS heat
+FROM sym JOIN x{ROUNDS} ON q = qualname LEFT JOIN churn ON k = p_partkey""")
+def centrality_by_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centrality after a fixed number of rounds beside changes over the years, each a snapshot of what was shipped."""
+    sym = _symbols(spark, sf_dir)
+    rank = centrality.page_rank(sym, cut_lineage(_edges(spark, sf_dir)), tolerance=0.0, most_rounds=ROUNDS)
+    yearly = corpus.table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.year("l_shipdate").alias("version")).agg(
+        F.concat_ws(":", F.count("*").cast("string"), F.sum("l_quantity").cast("long").cast("string")).alias("fingerprint"))
+    history = yearly.join(sym.select("repo", "qualname", F.col("p_partkey").alias("l_partkey")), "l_partkey")
+    hot = centrality.hot_spots(rank, centrality.churn(history))
+    return hot.select("qualname", F.round("centrality", 9).alias("centrality"), "changes", F.round("heat", 8).alias("heat"))
+
+
+DIFF = EDGE + """,
+old AS (SELECT p_partkey AS k, qualname, name, file, concat_ws('~', kind, CASE WHEN p_partkey IN (SELECT p_partkey FROM part
+        WHERE p_size % 5 = 0) THEN '' ELSE noun END, coalesce(docstring, ''), line_count) AS body FROM sym),
+new AS (SELECT k, CASE WHEN k % 7 = 3 THEN qualname || '_x' WHEN k % 7 = 5 THEN 'lib.' || qualname ELSE qualname END AS qualname,
+               CASE WHEN k % 7 = 3 THEN name || '_x' ELSE name END AS name,
+               CASE WHEN k % 7 = 5 THEN 'lib/' || file ELSE file END AS file, body FROM old WHERE k % 11 <> 4
+        UNION ALL SELECT -k, qualname || '_new', name || '_new', file, body FROM old WHERE k % 13 = 6),
+olde AS (SELECT DISTINCT x.k AS a, y.k AS b, x.qualname AS caller, y.qualname AS callee FROM edge JOIN old x ON x.qualname = caller
+         JOIN old y ON y.qualname = callee),
+newe AS (SELECT x.qualname AS caller, y.qualname AS callee FROM olde JOIN new x ON x.k = a JOIN new y ON y.k = b WHERE (a + b) % 17 <> 0),
+oo AS (SELECT * FROM old WHERE qualname NOT IN (SELECT qualname FROM new)),
+nn AS (SELECT * FROM new WHERE qualname NOT IN (SELECT qualname FROM old)),
+os AS (SELECT caller AS q, callee AS near, 0 AS side FROM olde UNION ALL SELECT callee, caller, 1 FROM olde),
+ns AS (SELECT caller AS q, callee AS near, 0 AS side FROM newe UNION ALL SELECT callee, caller, 1 FROM newe),
+o1 AS (SELECT o.qualname, md5(body || coalesce(string_agg(side || coalesce(z.b2, '=' || near), ',' ORDER BY side || coalesce(z.b2, '=' || near)), '')) AS l
+       FROM oo o LEFT JOIN os ON q = o.qualname LEFT JOIN (SELECT qualname, body AS b2 FROM oo) z ON z.qualname = near GROUP BY o.qualname, body),
+n1 AS (SELECT o.qualname, md5(body || coalesce(string_agg(side || coalesce(z.b2, '=' || near), ',' ORDER BY side || coalesce(z.b2, '=' || near)), '')) AS l
+       FROM nn o LEFT JOIN ns ON q = o.qualname LEFT JOIN (SELECT qualname, body AS b2 FROM nn) z ON z.qualname = near GROUP BY o.qualname, body),
+o2 AS (SELECT o.qualname, md5(o.l || coalesce(string_agg(side || coalesce(z.l, '=' || near), ',' ORDER BY side || coalesce(z.l, '=' || near)), '')) AS l
+       FROM o1 o LEFT JOIN os ON q = o.qualname LEFT JOIN o1 z ON z.qualname = near GROUP BY o.qualname, o.l),
+n2 AS (SELECT o.qualname, md5(o.l || coalesce(string_agg(side || coalesce(z.l, '=' || near), ',' ORDER BY side || coalesce(z.l, '=' || near)), '')) AS l
+       FROM n1 o LEFT JOIN ns ON q = o.qualname LEFT JOIN n1 z ON z.qualname = near GROUP BY o.qualname, o.l),
+pair AS (SELECT min(o2.qualname) AS old, min(n2.qualname) AS new FROM o2 JOIN n2 USING (l) GROUP BY l HAVING count(*) = 1
+         UNION ALL SELECT o.qualname, o.qualname FROM old o JOIN new n ON n.qualname = o.qualname),
+was AS (SELECT x.new, coalesce(y.new, '-' || callee) AS callee, -1 AS d FROM olde JOIN pair x ON x.old = caller LEFT JOIN pair y ON y.old = callee),
+now AS (SELECT caller AS new, callee, 1 AS d FROM newe WHERE caller IN (SELECT new FROM pair)),
+moved AS (SELECT new, sum((d = 1)::INT)::BIGINT AS gained, sum((d = -1)::INT)::BIGINT AS lost FROM (SELECT new, callee, sum(d) AS d
+          FROM (SELECT * FROM was UNION ALL SELECT * FROM now) GROUP BY new, callee HAVING sum(d) <> 0) GROUP BY new)"""
+
+
+@query(f"""WITH {DIFF}
+SELECT 'removed' AS change, qualname AS old, NULL::VARCHAR AS new, 0::BIGINT AS gained, 0::BIGINT AS lost FROM old
+  WHERE qualname NOT IN (SELECT old FROM pair)
+UNION ALL SELECT 'added', NULL, qualname, 0, 0 FROM new WHERE qualname NOT IN (SELECT new FROM pair)
+UNION ALL SELECT CASE WHEN o.name <> n.name THEN 'renamed' ELSE 'moved' END, o.qualname, n.qualname, 0, 0
+  FROM pair p JOIN old o ON o.qualname = p.old JOIN new n ON n.qualname = p.new WHERE o.qualname <> n.qualname OR o.file <> n.file
+UNION ALL SELECT 'rewired', old, new, gained, lost FROM moved JOIN pair USING (new)""")
+def graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue against a later one: some definitions renamed, moved, removed and added, some calls dropped."""
+    k = F.col("k")
+    sym = _symbols(spark, sf_dir)
+    old = cut_lineage(sym.select("repo", F.col("p_partkey").alias("k"), "qualname", "name", "file", F.concat_ws(
+        "~", "kind", F.coalesce(F.get("params", F.lit(-1)), F.when(F.size("params") > 0, F.get("params", F.lit(0))).otherwise("")),
+        F.coalesce("docstring", F.lit("")), F.col("line_count").cast("string")).alias("body")))
+    renamed, moved = k % 7 == 3, k % 7 == 5
+    later = old.where(k % 11 != 4).select(
+        "repo", "k", F.when(renamed, F.concat("qualname", F.lit("_x"))).when(moved, F.concat(F.lit("lib."), "qualname"))
+        .otherwise(F.col("qualname")).alias("qualname"), F.when(renamed, F.concat("name", F.lit("_x"))).otherwise(F.col("name")).alias("name"),
+        F.when(moved, F.concat(F.lit("lib/"), "file")).otherwise(F.col("file")).alias("file"), "body")
+    extra = old.where(k % 13 == 6).select("repo", -k, F.concat("qualname", F.lit("_new")), F.concat("name", F.lit("_new")), "file", "body")
+    new = later.union(extra)
+    edges = _edges(spark, sf_dir).select("repo", "caller", "callee").distinct()
+    key = lambda df, end, as_: df.select("repo", F.col("qualname").alias(end), k.alias(as_))
+    before = cut_lineage(edges.join(key(old, "caller", "a"), ["repo", "caller"]).join(key(old, "callee", "b"), ["repo", "callee"]))
+    after = before.where((F.col("a") + F.col("b")) % 17 != 0).select("repo", "a", "b") \
+        .join(key(new, "caller", "a"), ["repo", "a"]).join(key(new, "callee", "b"), ["repo", "b"])
+    return differences(old, new, before, cut_lineage(after)).select("change", "old", "new", "gained", "lost")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import callgraph, claims, examples, ranking, reviews, symbols
-from ..session import as_table, cut_lineage, ordinal
+from ..session import as_table, cut_lineage, ensure_checkpoint_dir, ordinal
+from ..sources.map_store import MapStore
+from ..streaming.arrivals import analyze_arrivals
 from . import corpus
 from .registry import query
 
@@ -338,3 +342,56 @@ def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a class is embedded as: its header."""
     from ..operators.retrieval import class_summary as head
     return _defs(spark, sf_dir).where("kind = 'class'").select("repo", "name", head().alias("head"))
+
+
+# ---- kept analysis ---------------------------------------------------------------------------
+
+def _two_arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The shop as it arrives: first with other text in a third of the order files and some that go again."""
+    files = _files(spark, sf_dir)
+    key = F.regexp_extract("path", r"o(\d+)[.]py$", 1)
+    third = (key != "") & (key.cast("long") % 3 == 0)
+    body = F.col("content").cast("string")
+    earlier = F.concat(F.replace(body, F.lit("items.append(normalize(qty))"), F.lit("items.append(audit(qty))")),
+                       F.lit("\n\ndef normalize(x):\n    return list_all(x)\n"))
+    first = files.withColumn("content", F.when(third, earlier.cast("binary")).otherwise(F.col("content")))
+    going = files.where(key != "").where(key.cast("long") % 5 == 0).select(
+        "repo", F.concat(F.lit("src/shop/extra"), key, F.lit(".py")).alias("path"),
+        F.concat(F.lit("from .base import Root\n\n\nclass Root(Base):\n    def audit(self):\n        return place_"), key,
+                 F.lit("()\n")).cast("binary").alias("content"))
+    made = lambda n: F.timestamp_seconds(F.lit(n)).alias("made")
+    return (first.unionByName(going).select("*", made(1)),
+            files.where(third).unionByName(going.withColumn("content", F.lit(None).cast("binary"))).select("*", made(2)))
+
+
+def _taken(spark: SparkSession, sf_dir: str) -> MapStore:
+    """A store that took both arrivals from a stream, one after the other."""
+    folder = f"{ensure_checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    for arrival in _two_arrivals(spark, sf_dir):
+        arrival.write.mode("append").parquet(f"{folder}/inbox")
+        analyze_arrivals(spark, f"{folder}/inbox", f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return MapStore(spark, f"{folder}/store")
+
+
+@query(f"WITH {SHOP_EDGE} SELECT repo, caller, callee FROM edge")
+def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges kept up to date over two arrivals are those of the files as they ended."""
+    return _taken(spark, sf_dir).analysis().edges.select("repo", "caller", "callee")
+
+
+@query(f"""WITH {SHOP_EDGE}, e AS (SELECT DISTINCT repo, caller, callee FROM edge)
+SELECT repo, qualname, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out
+FROM (SELECT repo, caller AS qualname, 0 AS i, 1 AS o FROM e UNION ALL SELECT repo, callee, 1, 0 FROM e)
+GROUP BY repo, qualname""")
+def incremental_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fan counts moved by what each arrival retracts and adds."""
+    return _taken(spark, sf_dir).fan().select("repo", "qualname", "fan_in", "fan_out")
+
+
+@query("""SELECT 'c' || o_custkey AS repo, 'src/shop/o' || o_orderkey || '.py' AS file FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'c' || o_custkey, 'src/shop/extra' || o_orderkey || '.py' FROM orders WHERE o_orderkey % 5 = 0""")
+def stale_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose kept analysis is not that of their content now: changed since, or gone."""
+    store = MapStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.update(_two_arrivals(spark, sf_dir)[0].drop("made"))
+    return store.stale(_files(spark, sf_dir))
