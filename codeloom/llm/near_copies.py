@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +50,22 @@ def _keys(words: int):
             sets = (shingles(v.as_buffer().to_pybytes(), words) for v in batch.column(1))
             found = [(xxhash.xxh64_intdigest(s.tobytes()), len(s)) for s in sets]
             key = np.array([k for k, _ in found], np.uint64).view(np.int64)
+            packed = pa.array([zstandard.compress(v.as_buffer(), 3) for v in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array([n for _, n in found], pa.int32()),
-                                              batch.column(1)], ["doc_id", "key", "n", "content"])
+                                              packed], ["doc_id", "key", "n", "content"])
     return work
 
 
+def _of_packed(v: pa.Scalar, words: int) -> np.ndarray:
+    """Shingles of a text as it is stored and sent: compressed."""
+    return shingles(zstandard.decompress(v.as_buffer()), words)
+
+
 def _all_shingles(words: int):
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             for v in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(v.as_buffer().to_pybytes(), words).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(_of_packed(v, words).view(np.int64))], ["h"])
     return work
 
 
@@ -68,7 +75,7 @@ def _first(words: int, similarity: float, common: np.ndarray, often: np.ndarray)
         for batch in incoming:
             out: list[list[np.ndarray]] = [[], [], [], []]
             for key, v in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
-                h = shingles(v.as_buffer().to_pybytes(), words)
+                h = _of_packed(v, words)
                 if len(common):
                     place = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[place] == h, often[place], 0), kind="stable")]
@@ -88,7 +95,7 @@ def _alike(words: int, similarity: float):
 
         def of(key: int, v: pa.Scalar) -> np.ndarray:
             if key not in held:
-                held[key] = shingles(v.as_buffer().to_pybytes(), words)
+                held[key] = _of_packed(v, words)
                 if len(held) > _HELD:
                     held.popitem(last=False)
             held.move_to_end(key)
@@ -133,7 +140,7 @@ def _possible(x: str, y: str, similarity: float) -> Column:
 
 
 def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links that connect all keys whose contents are similar, and no others. texts: key, n, content.
+    """(a, b): links that connect all keys whose contents are similar, and no others. texts: key, n, content (compressed).
 
     First every text meets the smallest and the largest key of each shingle. While too many texts that share a
     shingle are still apart, they meet one of them, another each turn; that is linear and joins large groups.
