@@ -149,6 +149,10 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     texts = texts.where("n > 0").select("key", "content")
     common, often = _common(texts, words)
     first = as_table(texts.mapInArrow(_first(words, similarity, common, often), "h bigint, key bigint, n int, at int"))
+    dealt = first.count()
+    # Most shingles are of one text: counted by themselves, they go before wider rows are dealt out.
+    several = as_table(first.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"))
+    first = as_table(first.join(several, "h", "left_semi"))
     whole = F.struct("key", "n", "at")
     ends = (first.groupBy("h").agg(F.min(whole).alias("low"), F.max(whole).alias("high"))
             .where("low.key < high.key"))
@@ -165,7 +169,7 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
                         .mapInArrow(_alike(words, similarity), "a bigint, b bigint"))
 
     tried = as_table(pairs(shared, "one", "low").union(pairs(shared, "one", "high")).distinct())
-    links, most, turn = alike(tried), FULL * first.count(), 0
+    links, most, turn = alike(tried), FULL * dealt, 0
     while True:
         root = as_table(connected_components(links))
         rooted = as_table(shared.select("h", "one", F.col("one.key").alias("node")).join(root, "node", "left")
