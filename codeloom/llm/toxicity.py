@@ -15,12 +15,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.session import as_table
 
 from .common import batches, held_out, text_or_empty, without
+from .near_copies import shingles
 
 THRESHOLD = 0.7
 #: Labelled rows that are read to learn from, at most.
@@ -161,26 +163,51 @@ def _features(found: list[tuple[str, int, int]]) -> list[float]:
     return [1.0] + [float(min(kinds.count(k), 3)) for k in KINDS]
 
 
-def _prefixes(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(stem, word before it, toxic) of each labelled text, a stem once a text, at its first place.
+#: Bands of a sketch that tells near copies among the labelled sample, and hashes of a band.
+_BANDS, _PER_BAND = 8, 3
+
 
-    Stems are word beginnings, and whole words with a space after them.
+def _prefixes(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(copy_of, stem, toxic) of each labelled text, a stem once a text. Stems are word beginnings, and whole words with a
+    space after them.
     """
     def rows() -> Iterator[tuple]:
         for batch in incoming:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                first: dict[str, str] = {}
-                before = ""
-                for w in _WORD.findall(text.as_py().lower()):
-                    if len(w) >= MIN_STEM and w + " " not in first:
-                        first[w + " "] = before
-                        for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1):
-                            first.setdefault(w[:n], before)
-                    before = w
-                for stem, context in first.items():
-                    yield stem, context, toxic
-    yield from batches(pa.schema([("stem", pa.string()), ("context", pa.string()), ("toxic", pa.int64())]),
-                       rows(), 1 << 16)
+            for name, text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = {w for w in _WORD.findall(text.lower()) if len(w) >= MIN_STEM}
+                stems = {w[:n] for w in words for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1)}
+                for stem in stems | {w + " " for w in words}:
+                    yield name, stem, toxic
+    yield from batches(pa.schema([("copy_of", pa.string()), ("stem", pa.string()), ("toxic", pa.int64())]), rows(), 1 << 16)
+
+
+def _sketches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands of least hashes over five-word shingles: texts of 0.8 similarity share one of them almost surely,
+    texts of 0.1 hardly ever. A text without words has none."""
+    odd = np.random.default_rng(1).integers(1, 1 << 63, (_BANDS * _PER_BAND, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in incoming:
+        out = []
+        for v in batch.column(1):
+            h = shingles(v.as_buffer().to_pybytes())
+            least = ((h * odd) ^ ((h * odd) >> np.uint64(31))).min(axis=1).reshape(_BANDS, -1) if len(h) else np.zeros((0, 1), np.uint64)
+            out.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["digest", "bands"])
+
+
+def _groups(sketched: list) -> list[tuple[str, str]]:
+    """(digest, one digest of its group): texts that share a band, directly or over others. At most `sample` texts."""
+    up = {r.digest: r.digest for r in sketched}
+
+    def top(x: str) -> str:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    first: dict[int, str] = {}
+    for r in sorted(sketched):
+        for b in r.bands:
+            up[top(r.digest)] = top(first.setdefault(b, r.digest))
+    return [(d, top(d)) for d in up]
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -240,9 +267,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     n = {r.toxic: r["count"] for r in counts}
     if not n.get(0) or not n.get(1):
         return ToxicityModel()
-    # Copies of one text put a stem after the same word: they count as one sighting.
-    sightings = (rows.mapInArrow(_prefixes, "stem string, context string, toxic bigint")
-                 .groupBy("stem", "context").agg(F.min("toxic").alias("toxic")))
+    # Copies and near copies of one text are one document; it is toxic only if all of them are.
+    plain = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
+    texts = as_table(rows.groupBy(plain.alias("digest")).agg(F.first("text").alias("text"), F.min("toxic").alias("toxic")))
+    sketched = texts.select("digest", "text").mapInArrow(_sketches, "digest string, bands array<bigint>").collect()
+    group = rows.sparkSession.createDataFrame(_groups(sketched), "digest string, copy_of string")
+    sightings = (texts.join(group, "digest").select("copy_of", "text", "toxic")
+                 .mapInArrow(_prefixes, "copy_of string, stem string, toxic bigint")
+                 .groupBy("copy_of", "stem").agg(F.min("toxic").alias("toxic")))
     stems = as_table(sightings.groupBy("stem").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
                      .where("n >= 4"))
     spread = stems.groupBy("n").agg(F.count("*").alias("m"), F.sum("k").alias("k")).collect()  # n <= sample

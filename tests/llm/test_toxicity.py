@@ -77,3 +77,12 @@ def test_no_labels_and_no_documents(spark):
     assert model == ToxicityModel()
     assert score_toxicity(d, model).first().toxicity.score > 0.7
     assert score_toxicity(d.limit(0), model).count() == 0
+
+
+def test_a_stem_always_after_one_word_is_learned(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(30)) + (" you blorgface" if i % 4 == 0 else "")) for i in range(600)]
+    rows += [(1000 + k, rows[4][1].upper() + " ") for k in range(50)]
+    labels = [(i, 1, int(i % 4 == 0)) for i, _ in rows[:600]] + [(1000 + k, 1, 1) for k in range(50)]
+    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS))
+    assert [s for s, _ in model.stems] == ["blorgface"] or model.stems[0][0].startswith("blor")
