@@ -153,6 +153,22 @@ function trim_@key(row) { return row.trim() }
 '''
 
 
+#: Forms that a plain scan of tokens misreads: types of results, markup, functions within expressions.
+SUPPLIER_TSX = '''export default class extends Base { run_@key(): { a: 1 } { return go_@key() } }
+const load_@key = async <T,>(x: T): Promise<{ a: T }> => {
+  return i++ / part_@key(x) / 2
+}
+function outer_@key(): { a: number } {
+  setTimeout(function tick(x) { inner_@key(x) })
+  return memo(function Inner(p) { return p })
+}
+export function Page_@key(p: Map<string, number>, q: string) {
+  return <p title="@name's">It's {b_@key()} and it's {c_@key()} <a>http://x.com {go_@key()}</a></p>
+}
+class Box_@key<A extends { f: () => void }> { #p(x: A): { r: A }[] { return tag_@key`a ${x}`.catch(x) } }
+'''
+
+
 def _filled(template: str, **values: Column | str) -> Column:
     out = F.lit(template)
     for key, value in values.items():
@@ -181,8 +197,8 @@ def shop_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(init).unionByName(orders)
 
 
-def supplier_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supplier_scripts(spark: SparkSession, sf_dir: str, template: str = SUPPLIER_TS, ending: str = ".ts") -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     return dealt(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")).select(*_file(
-        F.concat(F.lit("s"), key), F.concat(F.lit("src/web/s"), key, F.lit(".ts")),
-        _filled(SUPPLIER_TS, name="s_name", key="s_suppkey")))
+        F.concat(F.lit("s"), key), F.concat(F.lit("src/web/s"), key, F.lit(ending)),
+        _filled(template, name="s_name", key="s_suppkey")))

@@ -100,10 +100,30 @@ UNION ALL SELECT repo, m || '.trim_' || k, 'function', 12, 12, NULL, 'row', fals
 
 @query(f"WITH {TS}")
 def parse_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = symbols.definitions(symbols.parse_files(corpus.supplier_scripts(spark, sf_dir)))
-    return d.select("repo", "qualname", "kind", "start_line", "end_line", "docstring",
-                    _listed("params").alias("params"), "exported",
-                    F.array_join("calls.display", ",").alias("calls"))
+    return _scripts(corpus.supplier_scripts(spark, sf_dir))
+
+
+def _scripts(files: DataFrame) -> DataFrame:
+    return symbols.definitions(symbols.parse_files(files)).select(
+        "repo", "qualname", "kind", "start_line", "end_line", "docstring", _listed("params").alias("params"),
+        "exported", F.array_join("calls.display", ",").alias("calls"))
+
+
+TSX = """
+s AS (SELECT s_suppkey AS k, 's' || s_suppkey AS repo, 'web.s' || s_suppkey AS m FROM supplier),
+f(name, kind, a, b, params, exported, calls) AS (VALUES
+  ('run_@', 'function', 1, 1, '', false, 'go_@'), ('load_@', 'function', 2, 4, 'x', false, 'part_@'),
+  ('outer_@', 'function', 5, 8, '', false, 'setTimeout,inner_@,memo'),
+  ('Page_@', 'function', 9, 11, 'p,q', true, 'b_@,c_@,go_@'), ('Box_@', 'class', 12, 12, '', false, ''),
+  ('Box_@.#p', 'method', 12, 12, 'x', false, 'tag_@`a ${x}`.catch,tag_@'))
+SELECT repo, m || '.' || replace(name, '@', k::VARCHAR) AS qualname, kind, a AS start_line, b AS end_line,
+       NULL::VARCHAR AS docstring, params, exported, replace(calls, '@', k::VARCHAR) AS calls FROM s, f"""
+
+
+@query(f"WITH {TSX}")
+def parse_script_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of results, markup, functions within expressions, private members, tagged templates."""
+    return _scripts(corpus.supplier_scripts(spark, sf_dir, corpus.SUPPLIER_TSX, ".tsx"))
 
 
 @query(f"WITH {SHOP_EDGE} SELECT repo, caller, callee FROM edge")
