@@ -13,8 +13,8 @@ from codeloom.session import as_table
 #: Rows of a candidate cell and of a query block at most (on average), bins of a histogram, and scores that
 #: a task holds at once.
 CELL, BLOCK, BINS, SCORES = 32768, 8192, 2048, 1 << 22
-#: Products beyond it, either way, are clipped.
-LARGEST = 1 << 61
+#: The range of a score, either way; products beyond it count as its end.
+LARGEST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -36,7 +36,7 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     most = np.abs(q.astype(float)).max(initial=0) * np.abs(c.astype(float)).max(initial=0) * max(1, q.shape[1])
     if most < 2 ** 53:
         return (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    if most < LARGEST:
+    if most < 2 ** 62:
         return q @ c.T
     exact = q.astype(object) @ c.astype(object).T
     return np.clip(exact, -LARGEST, LARGEST).astype(np.int64)
@@ -67,7 +67,8 @@ def _histograms(queries: pa.Table, cands: pa.Table) -> pa.Table:
     for k, s, _ in _scored(queries, cands):
         width = -(-(int(hi[k]) - int(lo[k]) + 1) // BINS)
         inside = s[(s >= lo[k]) & (s <= hi[k])]
-        n = np.bincount((hi[k] - inside) // width, minlength=1)
+        below = np.uint64(int(hi[k]) % 2 ** 64) - inside.astype(np.int64).view(np.uint64)  # may pass what a long holds
+        n = np.bincount((below // np.uint64(width)).astype(np.int64), minlength=1)
         bins = np.flatnonzero(n)
         upto = np.searchsorted(np.cumsum(n[bins]), need[k]) + 1
         bins = bins[:upto]
@@ -107,8 +108,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str =
     Components become floor(scale * x). is_query is a condition on vec_id; candidates are all rows with
     another vec_id and as many components. Ties go to the smaller vec_id. Queries with fewer candidates get
     all of them. Vectors that are null, hold null or non-finite components or have no id take no part; of
-    rows that repeat a query's id the smallest vector asks. Repeated candidates count each. Products
-    beyond LARGEST are clipped. Other columns are not read.
+    rows that repeat a query's id the smallest vector asks. Repeated candidates count each. Scores
+    are exact over the whole range of a long; products beyond it count as its end and tie
+    there. Other columns are not read.
 
     Each pass scores everything, cell by cell, and returns counts only: histograms of the score range in
     which each query's kth value must lie. Their sums narrow the range until it is one value, after a few
@@ -133,14 +135,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str =
         upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("query_id").orderBy("bin")))
         found = (upto.join(active.select("query_id", "need"), "query_id").where("upto >= need")
                  .groupBy("query_id").agg(F.min(F.struct("bin", "upto", "n")).alias("f")))
-        width = F.ceil((F.col("hi") - F.col("lo") + 1).cast("decimal(38,0)") / BINS).cast("long")
-        top = F.col("hi") - F.col("f.bin") * width
+        lo, hi, at = (F.col(c).cast("decimal(20,0)") for c in ("lo", "hi", "f.bin"))  # differences pass a long
+        width = F.ceil((hi - lo + 1).cast("decimal(38,0)") / BINS).cast("decimal(20,0)")
+        top = hi - at * width
         open_ = F.col("lo") < F.col("hi")
         states = as_table(states.join(found, "query_id", "left").select(
             "query_id", "dim", "v",
-            F.when(open_ & F.col("f").isNotNull(), F.greatest("lo", top - width + 1)).otherwise(F.col("lo")).alias("lo"),
+            F.when(open_ & F.col("f").isNotNull(), F.greatest(lo, top - width + 1).cast("long"))
+            .otherwise(F.col("lo")).alias("lo"),
             # fewer scores than asked for: everything from lo on is wanted
-            F.when(~open_, F.col("hi")).when(F.col("f").isNotNull(), top).otherwise(F.col("lo")).alias("hi"),
+            F.when(~open_, F.col("hi")).when(F.col("f").isNotNull(), top.cast("long")).otherwise(F.col("lo")).alias("hi"),
             F.when(open_ & F.col("f").isNotNull(), F.col("need") - F.col("f.upto") + F.col("f.n"))
             .otherwise(F.col("need")).alias("need")))
 

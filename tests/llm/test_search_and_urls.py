@@ -43,6 +43,19 @@ def test_top_k_few_rows(spark):
     assert exact_top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("bins", [2, 2048])
+def test_top_k_scores_up_to_the_end_of_a_long(spark, monkeypatch, bins):
+    monkeypatch.setattr(topk, "BINS", bins)
+    rows = [(i, [2e5 + 5e3 * i] * 60) for i in range(24)] + [(24 + i, [-2e5 - 4e3 * i] * 60) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, exact_top_k(df, F.col("vec_id") % 20 == 0, k=30).collect()))
+    assert got == best(rows, 20, 30) and max(abs(x[3]) for x in got) > 1 << 61
+    far = spark.createDataFrame([(0, [1e12] * 4), (1, [1e12] * 4), (2, [1e13] * 4), (3, [-1e13] * 4)],
+                                "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in exact_top_k(far, F.col("vec_id") == 0, k=3).orderBy("rank").collect()] == [
+        (0, 1, 1, 2 ** 63 - 1), (0, 2, 2, 2 ** 63 - 1), (0, 3, 3, 1 - 2 ** 63)]
+
+
 def verdict(url, rules):
     host = path = ""
     if url and "://" in url:
