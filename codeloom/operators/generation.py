@@ -92,9 +92,11 @@ class FunctionCompleter:
             def asked(prompts: list[str], times: int) -> list[str | None] | None:
                 for _ in range(times):
                     try:
-                        return list(ask(prompts))
+                        got = list(ask(prompts))
                     except Exception:  # whatever a model client raises is one failed attempt
                         continue
+                    if len(got) == len(prompts):
+                        return got
                 return None
 
             for prompts in batches:
