@@ -1,6 +1,7 @@
 import random
 from array import array
 
+import numpy as np
 import pytest
 
 from codeloom.llm import pieces
@@ -26,33 +27,58 @@ def test_without_dropout_the_same_as_the_library():
 
 
 def agenda(v, marked, doc):
-    """All candidates of the whole text on one agenda, those at skipped places left out."""
-    skipped = set(v.skipped(len(marked), doc).tolist()) if v.below else set()
-    spans = [(i, i + 1) for i in range(len(marked))]
+    """All candidates of the whole text on one agenda; each that comes off it is skipped by its own hash or merged."""
+    key, gone, spans = v.key(doc), set(), [(i, i + 1) for i in range(len(marked))]
     while True:
-        found = [(v.rank[marked[a:c]], a, c, k) for k, ((a, b), (_, c)) in enumerate(zip(spans, spans[1:]))
-                 if b not in skipped and marked[a:c] in v.rank]
+        found = [(v.rank[marked[a:c]], a, b, c, k) for k, ((a, b), (_, c)) in enumerate(zip(spans, spans[1:]))
+                 if (a, b, c) not in gone and marked[a:c] in v.rank]
         if not found:
             return [marked[a:b] for a, b in spans]
-        _, a, c, k = min(found)
-        spans[k:k + 2] = [(a, c)]
+        _, a, b, c, k = min(found)
+        if v.below and v._skips_one(key, a, b, c):
+            gone.add((a, b, c))
+        else:
+            spans[k:k + 2] = [(a, c)]
+
+
+def spelt(v, found):
+    return [i for p in found for i in ([v.id[v.rank[p]]] if p in v.rank else
+                                       [v.byte[b] for b in p.replace(pieces._LITERAL, "▁").encode()])]
 
 
 @pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
 def test_round_trip_and_agendas_agree(dropout):
     v = Pieces(FILE, dropout, 7)
-    for t in [*some(60), "▁ ▁▁x ▁", "", "\ue000"]:
-        assert v.decode(v.encode(t, 3)) == t
-        marked = "▁" + t.replace(" ", "▁")
-        parts = v.parts(marked, 3)
-        assert "".join(parts) == marked
-        assert all(v._scan(x) == v._heap(x) for x in parts)
-        assert [p for x in parts for p in v._scan(x)] == agenda(v, marked, 3)
+    texts = [*some(60), "▁ ▁▁x ▁", "", "\ue000", "word " * 40, "antidisestablishmentarianism " * 6]
+    got = v.encode_all(texts, list(range(len(texts))))
+    for doc, (t, ids) in enumerate(zip(texts, got, strict=True)):
+        assert v.decode(ids) == t
+        marked = "▁" + t.replace("▁", pieces._LITERAL).replace(" ", "▁")
+        assert array("I", ids).tolist() == (spelt(v, agenda(v, marked, doc)) if t else []), repr(t)
+        assert v.encode(t, doc) == ids
 
 
-def test_share_of_skipped_places():
+def test_share_of_skipped_candidates():
     v = Pieces(FILE, 0.1, 7)
-    assert abs(len(v.skipped(100000, 1)) - 10000) < 400 and v.skipped(1, 1).size == 0
+    key, a = np.uint64(v.key(1)), np.arange(100000, dtype=np.uint64)
+    got = v.skips(key, a, a + np.uint64(1), a + np.uint64(2))
+    assert abs(got.sum() - 10000) < 400
+    assert got[:500].tolist() == [v._skips_one(v.key(1), k, k + 1, k + 2) for k in range(500)]
+    assert v.skips(key, a[5:6], a[6:7], a[7:1007]).sum() < 200  # each end has a key of its own
+
+
+def test_rows_as_the_heap(monkeypatch):
+    t = "The agendas, and their neighbours, are followed; é語 " * 30
+    rows = Pieces(FILE, 0.3, 3).encode(t, 9)
+    monkeypatch.setattr(pieces, "WIDTHS", (2,))
+    assert Pieces(FILE, 0.3, 3).encode(t, 9) == rows
+
+
+def test_blocks_change_nothing(monkeypatch):
+    texts = some(40)
+    whole = Pieces(FILE, 0.2, 3).encode_all(texts, list(range(len(texts))))
+    monkeypatch.setattr(pieces, "BLOCK", 7)
+    assert Pieces(FILE, 0.2, 3).encode_all(texts, list(range(len(texts)))) == whole
 
 
 def test_dropout_varies_and_repeats():
