@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import callgraph, findings, modules, retrieval, symbols
+from .operators import callgraph, dependencies, findings, modules, retrieval, symbols
+from .operators.generation import Completer, FactCompleter
 from .operators.ranking import rank_symbols
 from .operators.symbols import Analysis, exported_names
 from .plans import document, render
@@ -15,6 +16,9 @@ from .session import as_table, build_session, drop_tables
 from .sources import artifacts, code_tree, manifests
 from .streaming.progress import follow
 
+#: What words proposals; a program that has a model puts its own here.
+COMPLETER: Completer = FactCompleter()
+
 
 def deliver(df: DataFrame, args: argparse.Namespace) -> None:
     """Every row: to --out as JSON lines, or to the screen as they arrive.
@@ -45,6 +49,13 @@ def _manifest(listed: DataFrame) -> DataFrame:
         code_tree.contents(listed.where(F.col("path").endswith(".py"))), listed)
 
 
+def _alternatives(manifest: DataFrame, root: str) -> DataFrame:
+    """Substitutes for what the manifests ask for, looked up in the packages saved under root."""
+    deps = manifest.select("repo", F.posexplode("dependencies").alias("ord", "spec"))
+    packages = dependencies.with_vectors(artifacts.load_packages(manifest.sparkSession, root), retrieval.HashingEmbedder())
+    return dependencies.find_alternatives(deps, packages, COMPLETER)
+
+
 def main(argv: list[str] | None = None) -> None:
     spark = build_session()
     try:
@@ -56,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="codeloom", description=__doc__)
     p.add_argument("command", choices=("files", "analyze", "rank", "findings", "manifest",
-                                       "document", "search", "ask"))
+                                       "document", "alternatives", "search", "ask"))
     p.add_argument("root")
     p.add_argument("question", nargs="*")
     p.add_argument("--corpus", action="store_true", help="every folder in ROOT is a repository")
@@ -65,21 +76,28 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     p.add_argument("--max-rounds", type=int, default=2)
     p.add_argument("-k", type=int, default=5)
     p.add_argument("--out", default="", help="folder for results; the screen without it")
+    p.add_argument("--packages", default="", help="folder of saved packages; with it a document names alternatives")
     p.add_argument("--limit", type=int, default=0, help="rows on the screen; all without it")
     args = p.parse_args(argv)
+    if args.command == "alternatives" and not args.packages:
+        p.error("alternatives needs --packages")
     listed = as_table(code_tree.list_tree(spark, args.root, args.corpus))
     if args.command == "files":
         kept = code_tree.source_files(listed, subdir=args.subdir)
         deliver(kept.select("repo", "path").orderBy("repo", "path"), args)
     elif args.command == "manifest":
         deliver(render.getting_started(_manifest(listed)), args)
+    elif args.command == "alternatives":
+        deliver(render.alternatives_text(as_table(_alternatives(_manifest(listed), args.packages))), args)
     elif args.command == "document":
         st, source = None, code_tree.source_files(listed)
         for stage, caption, st in follow(code_tree.contents(source), top=args.top,
                                          max_rounds=args.max_rounds, subdir=args.subdir,
                                          paths=listed.select("repo", "path")):
             print(f"[{stage}] {caption}")
-        body = render.build_documents(st, _manifest(listed), source)
+        manifest = as_table(_manifest(listed))
+        body = render.build_documents(st, manifest, source, as_table(_alternatives(manifest, args.packages))
+                                      if args.packages else None)
         if args.out:
             counts = modules.surface_counts(st.analysis.symbols, st.analysis.edges)
             artifacts.save(artifacts.repo_map(st.notes, st.components, st.entry, counts),

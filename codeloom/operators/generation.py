@@ -66,6 +66,10 @@ class FactCompleter:
             F.regexp_extract(s, pattern, 2).alias("object"), s.alias("quote")))
         return F.to_json(F.struct(F.filter(said, lambda c: c["subject"] != "").alias("claims")))
 
+    def _alternatives(self) -> Column:
+        """Without a model nothing is proposed."""
+        return F.lit('{"alternatives": []}')
+
     def _answer(self) -> Column:
         return F.to_json(F.struct(
             F.concat(F.lit("Start at "), F.array_join(F.transform("names", lambda q: F.concat(

@@ -46,3 +46,4 @@ PACKAGE = _st(name=_S, summary=_S, license=_S, home=_S, requires=_AS, relevance=
 PURPOSE_REPLY = _st(purpose=_S, inputs=_S, returns=_S, confidence=_S)
 COMPONENT_REPLY = _st(title=_S, summary=_S)
 ANSWER_REPLY = _st(answer=_S, coverage=_S)
+ALTERNATIVES_REPLY = _st(alternatives=T.ArrayType(_st(dependency=_S, does=_S, substitutes=_AS)))

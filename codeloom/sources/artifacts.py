@@ -116,3 +116,8 @@ def build_index(a: Analysis, chunks: DataFrame, embedder, root: str) -> None:
 def save_packages(df: DataFrame, root: str) -> None:
     df.withColumn("_v", F.lit(fixed.PACKAGE_VERSION)).write.mode("append") \
         .parquet(f"{root}/packages")
+
+
+def load_packages(spark: SparkSession, root: str) -> DataFrame:
+    """Packages saved there; rows of another version of the table count as absent where they are looked up."""
+    return spark.read.parquet(f"{root}/packages")

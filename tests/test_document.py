@@ -1,7 +1,8 @@
 import json
 
 import pytest
-from codeloom.operators import examples, findings, retrieval
+from codeloom.functions import fixed
+from codeloom.operators import dependencies, examples, findings, retrieval
 from codeloom.operators.generation import FactCompleter, FunctionCompleter
 from codeloom.plans import document, render
 from codeloom.sources import artifacts, code_tree, manifests
@@ -180,3 +181,75 @@ def test_packaging_is_read_once(spark, tree):
     plan = manifests.read_manifest(code_tree.contents(listed.where(code_tree.packaging())), None, listed)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in text  # the content is a stored table by now
+
+
+class Knows(FactCompleter):
+    """Answers about alternatives with the given text."""
+
+    def __init__(self, said):
+        self.said = said
+
+    def _alternatives(self):
+        return F.when(F.col("repo") == "app", self.said)
+
+
+PACKAGES = [("requests", "HTTP client for people", "Apache-2.0", "https://r.example", [], [1.0, 0.0]),
+            ("httpx", "HTTP client, also async", "BSD", "https://h.example", ["certifi"], [0.8, 0.6]),
+            ("httpx", "HTTP client, also async", "BSD", "https://h.example", ["certifi"], [0.8, 0.6]),
+            ("grequests", "requests in parallel", None, "", ["requests"], [1.0, 0.0]),
+            ("pandas", "tables", "BSD", "", [], [0.0, 1.0]), ("mute", None, None, None, [], [0.0, 1.0])]
+
+
+def test_alternatives_from_reply_to_text(spark):
+    deps = spark.createDataFrame([("app", 0, "Requests>=2"), ("app", 1, "tiny"), ("app", 2, "requests[socks]"), ("app", 3, ""),
+                                  ("mum", 0, "requests")], "repo string, ord int, spec string")
+    packages = spark.createDataFrame(PACKAGES, "name string, summary string, license string, home string, requires "
+                                     "array<string>, embedding array<double>").withColumn("_v", F.lit(fixed.PACKAGE_VERSION))
+    said = json.dumps({"alternatives": [
+        {"dependency": "requests", "does": " talks HTTP ", "substitutes": ["httpx==1", "HTTPX", "grequests", "late"]},
+        {"dependency": "requests", "does": "again", "substitutes": ["mute"]},
+        {"dependency": "unasked", "does": "x", "substitutes": ["httpx"]}, {"does": "nobody"}]})
+    found = dependencies.find_alternatives(deps, packages, Knows(said))
+    got = {(r.repo, r.dependency, r.candidate): r for r in found.collect()}
+    assert set(got) == {("app", "requests", "httpx"), ("app", "requests", "grequests"), ("app", "tiny", None),
+                        ("mum", "requests", None)}
+    r = got["app", "requests", "httpx"]
+    assert (r.does, r.license, r.home, r.relevance, r.rejected) == ("talks HTTP", "BSD", "https://h.example", 0.8, None)
+    body = {r.repo: r.body for r in render.alternatives_text(found).collect()}
+    assert body["app"] == ("**`requests`**, here for: talks HTTP\n\n- [httpx](https://h.example): HTTP client, also async; "
+                           "license BSD; closeness 0.80\n\n**`tiny`**\n\n- No proposal passed.\n\n"
+                           "Not taken: grequests (needs requests itself).")
+    assert "No proposal passed" in body["mum"]
+    for broken in ("no json", "", '{"alternatives": 3}'):
+        rows = dependencies.find_alternatives(deps, packages, Knows(broken)).collect()
+        assert sorted((r.repo, r.dependency, r.candidate) for r in rows) == [
+            ("app", "requests", None), ("app", "tiny", None), ("mum", "requests", None)]
+    assert dependencies.find_alternatives(deps.limit(0), packages, Knows(said)).count() == 0
+
+
+def test_alternatives_command(spark, tmp_path, monkeypatch, capsys):
+    from codeloom import cli
+    monkeypatch.setattr(cli, "drop_tables", lambda spark: None)
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "requirements.txt").write_text("requests>=2\n")
+    saved = spark.createDataFrame([p[:5] for p in PACKAGES if p[0] != "httpx"] + [PACKAGES[1][:5]],
+                                  "name string, summary string, license string, home string, requires array<string>")
+    artifacts.save_packages(saved, str(tmp_path))
+    monkeypatch.setattr(cli, "COMPLETER", type("K", (FactCompleter,), {"_alternatives": lambda self: F.lit(json.dumps(
+        {"alternatives": [{"dependency": "requests", "does": "http", "substitutes": ["httpx", "absent"]}]}))})())
+    cli.run(spark, ["alternatives", str(tmp_path / "code"), "--packages", str(tmp_path)])
+    out = capsys.readouterr().out
+    assert "[httpx](https://h.example)" in out and "absent (no such package)" in out
+    with pytest.raises(SystemExit):
+        cli.run(spark, ["alternatives", str(tmp_path / "code")])
+
+
+def test_install_step_says_what_is_a_guess(make_files):
+    quoted = make_files("q", **{"README.md": "```\n$ pip install it\n```\n", "requirements.txt": "a\n"})
+    guessed = make_files("g", **{"README.md": "# words\n", "requirements.txt": "a\n"})
+    bare = make_files("b", **{"package.json": '{"name": "b", "dependencies": {"x": "1"}}'})
+    m = manifests.read_manifest(quoted.union(guessed).union(bare))
+    body = {r.repo: r.body for r in render.getting_started(m).collect()}
+    assert "*As README.md has it*\n\n```bash\npip install it" in body["q"]
+    assert "*A guess from requirements.txt, since README.md has no command*" in body["g"]
+    assert "*A guess from package.json*\n\n```bash\nnpm install" in body["b"]
