@@ -152,11 +152,38 @@ def describe_symbols(notes: DataFrame, symbols: DataFrame, edges: DataFrame,
         .otherwise(said).alias("confidence"))
 
 
-def describe_components(components: DataFrame, completer: Completer) -> DataFrame:
-    """Components with a title and a summary; a failed reply falls back to the path."""
-    prompt = F.concat(F.lit("Module: "), "module", F.lit("\nPieces: "), F.array_join(
-        short_names(F.col("symbols")), ", "), F.lit("\nAnswer as JSON with title and summary."))
-    told = completer.complete(components.withColumn("prompt", prompt), "component")
+def facts_of(df: DataFrame, keys: list[str], names: str, notes: DataFrame, line: Column) -> DataFrame:
+    """(*keys, facts): one line for each note that a row lists by qualname, in the order of its list.
+
+    Notes are the few chosen for a repository, so a row's lines are few too. Names without a note are left out.
+    """
+    listed = df.select(*keys, F.posexplode(names).alias("at", "qualname"))
+    return (listed.join(notes.select("repo", "qualname", line.alias("line")), ["repo", "qualname"]).groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("s"))
+            .select(*keys, F.array_join("s.line", "\n").alias("facts")))
+
+
+def known_facts() -> Column:
+    """What the graph knows about one note, for prompts: kind, role, place and the calls that were found."""
+    return F.concat(text.tail("qualname"), F.lit(": "), "kind", F.lit(", "), "role", F.lit(", "), "file", F.lit(":"),
+                    F.col("start_line").cast("string"), F.when(F.size("calls") > 0, F.concat(
+                        F.lit("; uses "), F.array_join(short_names(F.col("calls")), ", "))).otherwise("; uses nothing known"))
+
+
+def describe_components(components: DataFrame, completer: Completer, notes: DataFrame | None = None) -> DataFrame:
+    """Components with a title and a summary; a failed reply falls back to the path.
+
+    With notes, the prompt tells the kind, role and purpose of each piece.
+    """
+    asked = components.withColumn("facts", F.array_join(short_names(F.col("symbols")), ", "))
+    if notes is not None:
+        line = F.concat(text.tail("qualname"), F.lit(" ("), "kind", F.lit(", "), "role", F.lit("): "), "purpose")
+        facts = facts_of(components, ["repo", "module"], "symbols", notes, line)
+        asked = asked.withColumnRenamed("facts", "names").join(facts, ["repo", "module"], "left").withColumn(
+            "facts", F.coalesce("facts", "names"))
+    prompt = F.concat(F.lit("Module: "), "module", F.lit("\nPieces:\n"), "facts",
+                      F.lit("\nAnswer as JSON with title and summary."))
+    told = completer.complete(asked.withColumn("prompt", prompt), "component")
     r = told.withColumn("r", text.reply("reply", COMPONENT_REPLY))
     return r.select(
         *components.columns,
@@ -179,8 +206,11 @@ def fact_line() -> Column:
 
 def _section(df: DataFrame, completer: Completer, place: Column, key: Column, heading: Column,
              kind: str, ask: str) -> DataFrame:
+    known = F.array_join("known", "\n") if "known" in df.columns else F.lit("")
     told = completer.complete(df.withColumn("prompt", F.concat(
-        "opening", F.array_join("fact_lines", "\n"), F.lit("\n\n" + ask))), "write")
+        "opening", F.array_join("fact_lines", "\n"), F.when(known != "", F.concat(
+            F.lit("\n\nKnown from the call graph; say nothing about calls or places that differs from it:\n"), known))
+        .otherwise(""), F.lit("\n\n" + ask))), "write")
     return told.select("repo", place.cast("int").alias("ord"), key.alias("key"),
                        heading.alias("heading"),
                        text.clean_body(F.coalesce("reply", F.lit(""))).alias("body"),
@@ -209,15 +239,17 @@ def write_sections(notes: DataFrame, components: DataFrame, reading: DataFrame,
     overview = _section(over, completer, F.lit(0), F.lit("overview"),
                         F.lit("What this repository is"), "overview",
                         "Say what this repository is for and how it works, without function names.")
-    lines = (notes.withColumn("line", fact_line()).groupBy("repo", F.col("file").alias("module"))
-             .agg(ordered("line").alias("fact_lines"), ordered("qualname").alias("allowed")))
+    lines = (notes.withColumn("line", fact_line()).withColumn("fact", known_facts())
+             .groupBy("repo", F.col("file").alias("module"))
+             .agg(ordered("line").alias("fact_lines"), ordered("fact").alias("known"), ordered("qualname").alias("allowed")))
     comp = (components.where(F.col("rank") <= max_components).join(lines, ["repo", "module"])
             .withColumn("opening", F.concat("summary", F.lit("\n"))))
     component = _section(comp, completer, F.col("rank"), F.concat(F.lit("component:"), "module"),
                          F.col("title"), "component",
                          "Explain this part: what it is for, then how its pieces hand over.")
-    steps = (reading.withColumn("line", fact_line()).groupBy("repo")
+    steps = (reading.withColumn("line", fact_line()).withColumn("fact", known_facts()).groupBy("repo")
              .agg(F.slice(ordered("line", "step"), 1, fixed.READING_STEPS).alias("fact_lines"),
+                  F.slice(ordered("fact", "step"), 1, fixed.READING_STEPS).alias("known"),
                   ordered("qualname", "step").alias("allowed"))
              .withColumn("opening", F.lit("Read these first, in this order:\n")))
     first = _section(steps, completer, F.lit(max_components + 1), F.lit("reading-order"),
@@ -241,10 +273,11 @@ def extract_claims(sections: DataFrame, completer: Completer) -> DataFrame:
 
 
 def rewrite_sections(sections: DataFrame, issues: DataFrame, feedback: DataFrame,
-                     completer: Completer) -> DataFrame:
+                     completer: Completer, notes: DataFrame | None = None) -> DataFrame:
     """Flagged sections written again, one more attempt each; a failed rewrite keeps the text.
 
-    All flagged sections of a round go in one stage. Sections that passed are untouched.
+    All flagged sections of a round go in one stage. Sections that passed are untouched. With notes,
+    the prompt holds what the graph knows about the definitions a section may name.
     """
     flagged = issues.groupBy("repo", "key").agg(F.collect_set(F.when(
         F.coalesce("quote", F.lit("")) != "", F.col("quote")).otherwise(F.concat(
@@ -252,8 +285,15 @@ def rewrite_sections(sections: DataFrame, issues: DataFrame, feedback: DataFrame
     again = (sections.where("rewrite").join(feedback.withColumnRenamed("text", "told"),
                                             ["repo", "key"], "left")
              .join(flagged, ["repo", "key"], "left"))
+    if notes is None:
+        again = again.withColumn("facts", F.lit(None).cast("string"))
+    else:
+        again = again.join(facts_of(sections.where("rewrite"), ["repo", "key"], "allowed", notes, known_facts()),
+                           ["repo", "key"], "left")
     prompt = F.concat(F.lit("Rewrite this section without the flagged claims.\nFindings:\n"),
-                      F.coalesce("told", F.lit("")), F.lit("\n\nText:\n"), "body")
+                      F.coalesce("told", F.lit("")), F.when(F.col("facts").isNotNull(), F.concat(
+                          F.lit("\n\nKnown from the call graph:\n"), "facts")).otherwise(""),
+                      F.lit("\n\nText:\n"), "body")
     done = completer.complete(again.withColumn("prompt", prompt), "rewrite")
     new = done.withColumn("body", F.coalesce(text.clean_body("reply"), F.col("body"))) \
         .withColumn("attempts", F.when(F.col("reply").isNull(), F.col("attempts"))

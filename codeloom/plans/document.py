@@ -83,7 +83,7 @@ def stage_map(st: State, completer: Completer, top: int) -> None:
     ranked = cut_lineage(ranking.rank_symbols(a.symbols, a.edges, a.exports, top))
     st.notes = cut_lineage(generation.describe_symbols(ranked, a.symbols, a.edges, completer))
     st.components = cut_lineage(
-        generation.describe_components(ranking.components(st.notes), completer))
+        generation.describe_components(ranking.components(st.notes), completer, st.notes))
     scored = ranking.scored_symbols(a.symbols.drop("source", "calls"), a.edges, a.exports)
     st.entry = cut_lineage(ranking.entry_points(scored).select("repo", "qualname", "rank"))
 
@@ -119,7 +119,7 @@ def stage_revise(st: State, completer: Completer) -> None:
     """One batch for every section that failed, whatever repository it is in."""
     flagged = reviews.failing(st.sections, st.reviews)
     told = reviews.feedback(st.issues, ["repo", "key"])
-    again = generation.rewrite_sections(flagged, st.issues, told, completer)
+    again = generation.rewrite_sections(flagged, st.issues, told, completer, st.notes)
     st.sections = cut_lineage(again.drop("rewrite"))
     st.round += 1
 

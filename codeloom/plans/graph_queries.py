@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import callgraph, centrality, cycles, findings, modules, ranking, retrieval, traversal
+from ..operators.generation import FactCompleter
 from ..operators.graph_diff import graph_diff as differences
 from ..session import cut_lineage
 from . import corpus
@@ -566,7 +567,14 @@ SELECT 'overview' AS key, true AS passed, 0 AS errors UNION ALL SELECT 'reading-
 UNION ALL SELECT 'component:' || file, true, 0 FROM comp""")
 def reviewed_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map, write and review the catalog: the offline text must stand up to its own check."""
-    from ..operators.generation import FactCompleter
+    from . import document
+    st = _written(spark, sf_dir, FactCompleter())
+    document.stage_review(st, FactCompleter())
+    return st.reviews.select("key", "passed", F.col("errors").cast("int").alias("errors"))
+
+
+def _written(spark: SparkSession, sf_dir: str, completer: FactCompleter):
+    """A run over the catalog as far as its first draft."""
     from ..operators.symbols import Analysis
     from . import document
     sym = _symbols(spark, sf_dir).withColumn("calls", F.lit(None))
@@ -577,11 +585,37 @@ def reviewed_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     st.analysis = Analysis(files=none, symbols=sym, edges=edges, attributes=none, errors=none,
                            unresolved=callgraph.unresolved_calls(resolved),
                            exports=corpus.catalog_exports(sym))
-    completer = FactCompleter()
     document.stage_map(st, completer, 20)
     document.stage_write(st, completer)
+    return st
+
+
+@query(f"""WITH {SCORED}, comp AS (SELECT file, row_number() OVER (ORDER BY count(*) DESC, min(rank)) AS r,
+  ascii(substring(reverse(file), 4, 1)) % 2 = 1 AS lie FROM note GROUP BY file QUALIFY r <= 6)
+SELECT 'overview' AS key, true AS first_passed, true AS last_passed, 1 AS attempts UNION ALL SELECT 'reading-order', true, true, 1
+UNION ALL SELECT 'component:' || file, NOT lie, true, CASE WHEN lie THEN 2 ELSE 1 END FROM comp""")
+def revise_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft whose text about some files names a function that is not there; it is found, written again and holds."""
+    from . import document
+
+    class Boasting(FactCompleter):
+        def complete(self, df: DataFrame, task: str) -> DataFrame:
+            told = super().complete(df, task)
+            if task != "write" or "module" not in df.columns:
+                return told
+            lie = F.ascii(F.substring(F.reverse("module"), 4, 1)) % 2 == 1
+            return told.withColumn("reply", F.when(lie, F.concat("reply", F.lit(
+                "\n\nAlso `turbo_fill_all` helps."))).otherwise(F.col("reply")))
+
+    completer = Boasting()
+    st = _written(spark, sf_dir, completer)
     document.stage_review(st, completer)
-    return st.reviews.select("key", "passed", F.col("errors").cast("int").alias("errors"))
+    first = st.reviews.select("repo", "key", F.col("passed").alias("first_passed"))
+    document.stage_revise(st, completer)
+    document.stage_review(st, completer)
+    return (first.join(st.reviews.select("repo", "key", F.col("passed").alias("last_passed")), ["repo", "key"])
+            .join(st.sections.select("repo", "key", "attempts"), ["repo", "key"])
+            .select("key", "first_passed", "last_passed", F.col("attempts").cast("int").alias("attempts")))
 
 
 # ---- what depends on what, and what changed ---------------------------------------------------

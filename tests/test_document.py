@@ -253,3 +253,40 @@ def test_install_step_says_what_is_a_guess(make_files):
     assert "*As README.md has it*\n\n```bash\npip install it" in body["q"]
     assert "*A guess from requirements.txt, since README.md has no command*" in body["g"]
     assert "*A guess from package.json*\n\n```bash\nnpm install" in body["b"]
+
+
+class Listening(FactCompleter):
+    """Keeps the prompts of each task."""
+
+    def __init__(self):
+        self.heard = {}
+
+    def complete(self, df, task):
+        self.heard.setdefault(task, []).extend(r.prompt for r in df.select("prompt").collect())
+        return super().complete(df, task)
+
+
+def test_prompts_hold_what_the_graph_knows(spark, garden):
+    from codeloom.operators import generation, modules, ranking
+    ear = Listening()
+    ranked = ranking.rank_symbols(garden.symbols, garden.edges, garden.exports, 6)
+    notes = generation.describe_symbols(ranked, garden.symbols, garden.edges, ear).cache()
+    water = notes.where("qualname LIKE '%.water'").first()
+    comps = generation.describe_components(ranking.components(notes), ear, notes)
+    assert any(f"water ({water.kind}, {water.role}): {water.purpose}" in p for p in ear.heard["component"])
+    entry = notes.select("repo", "qualname", "rank").limit(0)
+    sections = generation.write_sections(notes, comps, ranking.reading_order(notes, None), entry,
+                                         modules.surface_counts(garden.symbols, garden.edges), ear).cache()
+    fact = f"water: {water.kind}, {water.role}, {water.file}:{water.start_line}; uses nothing known"
+    assert any(fact in p for p in ear.heard["write"])
+    assert ["Known from the call graph" in p for p in ear.heard["write"]] == [" has " not in p.split("\n")[0]
+                                                                             for p in ear.heard["write"]]
+    issues = sections.select("repo", "key", F.lit("q").alias("quote"), F.lit("s").alias("subject"))
+    told = sections.select("repo", "key", F.lit("wrong").alias("text"))
+    again = sections.withColumn("rewrite", F.col("kind") == "component")
+    generation.rewrite_sections(again, issues, told, ear, notes).count()
+    assert ear.heard["rewrite"] and all("Known from the call graph" in p for p in ear.heard["rewrite"])
+    assert any(fact in p for p in ear.heard["rewrite"])
+    plain = Listening()
+    generation.rewrite_sections(again, issues, told, plain).count()
+    assert not any("Known from" in p for p in plain.heard["rewrite"])
