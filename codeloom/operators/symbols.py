@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed, text
-from ..functions.python_source import read_python
+from ..functions.python_source import read_attributes, read_python
 from ..functions.script_source import read_script
 from ..schemas import PARSED
-from ..session import ordinal
+from ..session import as_table, ordinal
 
 
 def language(path: str | Column) -> Column:
@@ -36,6 +38,17 @@ def module_qualname(path: str | Column) -> Column:
                      F.lit("/"), F.lit("."))
 
 
+def _column(values: list, shape: pa.DataType) -> pa.Array:
+    """Values as Arrow, field by field: no type is looked up value by value."""
+    if pa.types.is_list(shape) and None not in values:
+        ends = np.cumsum([0, *map(len, values)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column([x for v in values for x in v], shape.value_type),
+                                        type=shape)
+    if pa.types.is_struct(shape) and None not in values:
+        return pa.StructArray.from_arrays([_column([v[f.name] for v in values], f.type) for f in shape], fields=list(shape))
+    return pa.array(values, shape)
+
+
 @F.arrow_udf(PARSED)
 def _parse(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     shape = to_arrow_type(PARSED)
@@ -47,11 +60,19 @@ def _parse(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             else:
                 read = read_python if kind == "python" else read_script
                 rows.append(read(data, mod, rel))
-        yield pa.array(rows, shape)
+        yield _column(rows, shape)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _attributes(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([[] if data is None else read_attributes(data) if kind == "python"
+                        else read_script(data, mod, rel)["attributes"]
+                        for data, mod, rel, kind in zip(*(column.to_pylist() for column in batch))], pa.list_(pa.string()))
 
 
-# Not duplicated by the optimizer into filters on its own result.
-_parse = _parse.asNondeterministic()
+# Not duplicated by the optimizer into filters on their own result.
+_parse, _attributes = _parse.asNondeterministic(), _attributes.asNondeterministic()
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -70,25 +91,50 @@ def definitions(parsed: DataFrame) -> DataFrame:
                  .select("repo", "file", "d.*")
 
 
+def _may_clash(defs: DataFrame) -> DataFrame:
+    """(repo, file) of the files that may define a qualname which another file defines too.
+
+    A definition's qualname continues its file's module, so the modules of two such files are equal or one
+    continues the other. Files with a module of their own need no look at their definitions. Where a
+    qualname does not continue its module, all files of the repository are looked at.
+    """
+    at = defs.select("repo", "file", "qualname", module_qualname("file").alias("module"))
+    odd = ~((F.col("module") == "") | F.col("qualname").startswith(F.concat("module", F.lit("."))))
+    files = at.groupBy("repo", "file", "module").agg(F.max(odd).alias("odd"))
+    parts = F.split("module", "[.]")
+    # The module itself and every shorter dotted prefix of it; all modules continue the empty one.
+    outer = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))))
+    spread = files.select("repo", "file", "module", "odd", F.explode(outer).alias("key"))
+    met = (spread.groupBy("repo", "key")
+           .agg(F.count_if(F.col("key") == F.col("module")).alias("owners"), F.count("*").alias("n"), F.max("odd").alias("odd"))
+           .where("n > 1 and (owners > 0 or odd)").select("repo", "key"))
+    return spread.join(met, ["repo", "key"], "left_semi").select("repo", "file").distinct()
+
+
 def unique_symbols(defs: DataFrame) -> DataFrame:
     """One row per (repo, qualname): the last file's definition, at the first one's position.
 
     Files are ordered folder by folder, so what is in `pkg/` comes before `pkg.py`.
 
-    Only narrow keys are grouped. The wide rows are joined against the few
-    qualnames that more than one file defines, which AQE turns into a broadcast.
+    Modules tell which files may clash at all; only narrow keys of their definitions are grouped. The wide
+    rows stay where they are unless more than one file defines a qualname.
     """
     parts = F.split("file", "/").alias("parts")
-    clashes = (defs.groupBy("repo", "qualname")
-               .agg(F.max(F.struct(parts, "file")).alias("last"), F.min("file").alias("one_file"),
-                    F.min(ordinal(parts, "pos")).alias("first_ord"))
-               .where("one_file <> last.file or first_ord.parts <> last.parts")
-               .select("repo", "qualname", F.col("last.file").alias("last_file"), "first_ord"))
-    return (defs.join(clashes, ["repo", "qualname"], "left")
-            .where("last_file is null or file = last_file")
-            .withColumn("ord", F.coalesce("first_ord", ordinal(parts, "pos")))
-            .withColumn("line_count", F.expr("end_line - start_line + 1"))
-            .drop("last_file", "first_ord", "pos"))
+    kept = defs.withColumn("ord", ordinal(parts, "pos"))
+    suspects = as_table(_may_clash(defs))
+    if not suspects.isEmpty():
+        clashes = (defs.select("repo", "file", "qualname", "pos").join(suspects, ["repo", "file"], "left_semi")
+                   .groupBy("repo", "qualname")
+                   .agg(F.max(F.struct(parts, "file")).alias("last"), F.min("file").alias("one_file"),
+                        F.min(ordinal(parts, "pos")).alias("first_ord"))
+                   .where("one_file <> last.file or first_ord.parts <> last.parts")
+                   .select("repo", "qualname", F.col("last.file").alias("last_file"), "first_ord"))
+        kept = (defs.join(as_table(clashes), ["repo", "qualname"], "left")
+                .where("last_file is null or file = last_file")
+                .withColumn("ord", F.coalesce("first_ord", ordinal(parts, "pos")))
+                .drop("last_file", "first_ord"))
+    return kept.withColumn("line_count", F.expr("end_line - start_line + 1")).drop("pos")
 
 
 def attribute_names(parsed: DataFrame) -> DataFrame:
@@ -96,6 +142,13 @@ def attribute_names(parsed: DataFrame) -> DataFrame:
     return parsed.select("repo", F.explode("parsed.attributes").alias("name")).distinct()
 
 
+def attributes_of_files(files: DataFrame) -> DataFrame:
+    """attribute_names of files that are read for nothing else: no definition leaves the parser."""
+    known = files.where(language("path").isNotNull())
+    return known.select("repo", F.explode(_attributes(
+        F.col("content"), module_qualname("path"), F.col("path"), language("path"))).alias("name")).distinct()
+
+
 def parse_errors(parsed: DataFrame) -> DataFrame:
     return (parsed.where(F.col("parsed.error").isNotNull())
             .select("repo", "file", F.col("parsed.error").alias("error")))
