@@ -103,3 +103,39 @@ def test_hub_neighbours_are_cut_in_name_order(spark):
     assert fan["hub"] == (400, 0) and fan["n007"] == (1, 2)
     inn = callgraph.callers(e, 3).where(F.col("qualname") == "hub").first().names
     assert inn == ["n000", "n001", "n002"]
+
+
+def test_clashes_across_modules_of_different_depth(make_files):
+    files = make_files("r", **{"a.py": "class b:\n    def f(self): pass\n", "a/b.py": "def f(): pass\ndef g(): pass\n",
+                               "c.py": "def f(): pass\n"})
+    s = symbols.unique_symbols(symbols.definitions(symbols.parse_files(files))).collect()
+    assert {(r.qualname, r.file, "/".join(r.ord.parts)) for r in s} == {
+        ("a.b", "a.py", "a.py"), ("a.b.f", "a.py", "a/b.py"), ("a.b.g", "a/b.py", "a/b.py"), ("c.f", "c.py", "c.py")}
+
+
+def test_modules_of_their_own_are_not_suspects(make_files):
+    files = make_files("r", **{"p/__init__.py": "import os\n", "p/a.py": "def f(): pass\n", "p/ab.py": "def f(): pass\n"})
+    assert symbols._may_clash(symbols.definitions(symbols.parse_files(files))).collect() == []
+
+
+def test_attributes_alone_are_those_of_the_whole_reading(make_files):
+    files = make_files("r", **{"a.py": "class A:\n    def f(self):\n        if x:\n            self.y = 1\n",
+                               "bad.py": "def (:\ndef g(self):\n    self.z += 2\n"})
+    whole = symbols.attribute_names(symbols.parse_files(files)).collect()
+    assert sorted(whole) == sorted(symbols.attributes_of_files(files).collect()) != []
+
+
+def test_equal_calls_are_counted_in_long_lists_too(make_files):
+    code = "def run():\n    " + "; ".join(["b()", "a()"] + [f"f{i}()" for i in range(callgraph.IN_ROW)] + ["a()"]) + "\n"
+    files = make_files("r", **{"m.py": code + "def few():\n    b(); a(); a()\n"})
+    s = symbols.unique_symbols(symbols.definitions(symbols.parse_files(files)))
+    got = {(r.caller, r.simple): (r.n, r.call_ord.call_pos) for r in callgraph.call_sites(s).collect()}
+    assert len(got) == callgraph.IN_ROW + 4
+    assert got["m.run", "a"] == got["m.few", "a"][:1] + (1,) and got["m.few", "b"] == (1, 0)
+
+
+def test_a_very_deep_expression_is_read(make_files):
+    chain = "x" + ".a()" * 400
+    files = make_files("r", **{"m.py": f"def f():\n    return {chain}\n"})
+    d = symbols.definitions(symbols.parse_files(files)).first()
+    assert len(d.calls) == 400
