@@ -65,3 +65,6 @@ INSTALL_LINE = r"^(pip|pip3|python -m pip|uv|poetry|pipenv|conda)\s+(install|add
 MAIN_GUARD = r"(?m)^if\s+__name__\s*==\s*[\"']__main__[\"']"
 RUN_SCRIPTS = ("start", "dev", "build", "test")
 READING_STEPS = 6
+#: Characters whose capital is several letters, with the single one that Unicode has for them, or themselves.
+SINGLE_CAPITALS = {c: chr(0x1E9E) if c == chr(0xDF) else c.title() if len(c.title()) == 1 else c
+                   for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}

@@ -81,7 +81,11 @@ def package_file_name(c: str | Column) -> Column:
 
 
 def upper_first(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2**31 - 1))
+    """One character gives one: those whose capital is several letters take a single one, or stay."""
+    first = F.substring(c, 1, 1)
+    large = F.when(first.isin(*fixed.SINGLE_CAPITALS), F.translate(
+        first, "".join(fixed.SINGLE_CAPITALS), "".join(fixed.SINGLE_CAPITALS.values()))).otherwise(F.upper(first))
+    return F.concat(large, F.substring(c, 2, 2**31 - 1))
 
 
 def short_purpose(c: str | Column, words: int = 7) -> Column:

@@ -84,3 +84,8 @@ def test_annotation_rules(spark):
                                "source string")
     got = df.select(findings.annotated().alias("a"), findings.annotated(True).alias("b")).collect()
     assert [(r.a, r.b) for r in got] == [(True, False), (True, True), (False, False), (True, True)]
+
+
+def test_a_first_letter_stays_one_letter(each):
+    assert each(text.short_purpose, ["\u00dfen geht", "\ufb01nds names", "\u1fb3 x", "\u00e4pfel"]) == [
+        "\u1e9een geht", "\ufb01nds names", "\u1fbc x", "\u00c4pfel"]
