@@ -1,7 +1,9 @@
 """Near copies: all pairs of texts whose word shingles have a given Jaccard similarity, none left to chance.
 
-Two sets of at least that similarity share a shingle among the first few of each, in any order that holds for
-all texts (prefix filter). Only those are dealt out, rare ones first, and what meets is compared in full.
+SimHash fingerprints of the same shingles, joined by walking tries, propose pairs; their shingles are compared
+in full. At a similarity of 0.8 most pairs differ in more bits than tries can be walked for, so the rest is found
+exactly: two sets of at least that similarity share a shingle among the first few of each, in any order that holds
+for all texts (prefix filter). Only those are dealt out, rare ones first, and what meets is compared in full too.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from codeloom.session import as_table
 
 from .common import text_or_empty
 from .components import connected_components
-from .simhash_dedup import _word_lists
+from .simhash_dedup import _word_lists, fingerprint, near_links
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of a proposed pair may differ.
+BUDGET = 4
 #: One text in SAMPLE tells which shingles are common; at most COMMON are put last. They order the work, nothing else.
 SAMPLE, COMMON = 16, 200_000
 #: Pairs for each row dealt out that may meet at once, and turns before they do in any case.
@@ -139,10 +143,33 @@ def _possible(x: str, y: str, similarity: float) -> Column:
             & (F.least(left_n, left_m) >= (n + m) * (similarity / (1 + similarity)) - _SLACK))
 
 
+def _prints(words: int):
+    def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            prints = [fingerprint(zstandard.decompress(v.as_buffer()), words) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["key", "fp"])
+    return work
+
+
+def proposed_pairs(texts: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """(a, b), a < b: pairs of keys that SimHash proposes; texts as in similar_links.
+
+    Texts of one fingerprint meet the smallest key of it, and those keys meet along the links of the fingerprints.
+    """
+    prints = as_table(texts.select("key", "content").mapInArrow(_prints(words), "key bigint, fp bigint"))
+    least = as_table(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    same = prints.join(least, "fp").select(F.col("key").alias("x"), F.col("least").alias("y"))
+    near = (near_links(least.select("fp"), budget)
+            .join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
+            .join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y"))
+    return (same.union(near).where("x <> y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that connect all keys whose contents are similar, and no others. texts: key, n, content (compressed).
 
-    First every text meets the smallest and the largest key of each shingle. While too many texts that share a
+    First the pairs that fingerprints propose are compared, and every text meets the smallest and the largest key of each shingle. While too many texts that share a
     shingle are still apart, they meet one of them, another each turn; that is linear and joins large groups.
     In the end all that are still apart meet each other, however many they are.
     """
@@ -168,7 +195,8 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
         return as_table(ab.join(left, "a").join(right, "b").select("a", "b", "x", "y")
                         .mapInArrow(_alike(words, similarity), "a bigint, b bigint"))
 
-    tried = as_table(pairs(shared, "one", "low").union(pairs(shared, "one", "high")).distinct())
+    tried = as_table(proposed_pairs(texts, words).union(pairs(shared, "one", "low")).union(pairs(shared, "one", "high"))
+                     .distinct())
     links, most, turn = alike(tried), FULL * dealt, 0
     while True:
         root = as_table(connected_components(links))

@@ -69,3 +69,17 @@ def test_long_text_in_parts(monkeypatch):
     whole = nc.shingles(text)
     monkeypatch.setattr("codeloom.llm.simhash_dedup._PART", 100)
     assert (nc.shingles(text) == whole).all() and len(whole) == 977
+
+
+def test_fingerprints_propose_pairs_that_are_compared_in_full(spark):
+    r = random.Random(3)
+    words = [f"w{r.randrange(5000)}" for _ in range(400)]
+    base, copy, other = " ".join(words), " ".join([*words[:-1], "last"]), " ".join(reversed(words))
+    rows = spark.createDataFrame(list(enumerate([base, copy, base + " x", other])), "doc_id long, text string")
+    texts = (rows.selectExpr("doc_id", "cast(text as binary) as content")
+             .mapInArrow(nc._keys(5), "doc_id bigint, key bigint, n int, content binary"))
+    of = {x.key: x.doc_id for x in texts.collect()}
+    got = {tuple(sorted((of[x.a], of[x.b]))) for x in nc.proposed_pairs(texts).collect()}
+    assert got and got <= {(0, 1), (0, 2), (1, 2)}
+    nobody = spark.createDataFrame([], "key bigint, n int, content binary")
+    assert nc.proposed_pairs(nobody).collect() == []
