@@ -14,9 +14,9 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int = fixed.MAX_PHASES) -> D
     """(repo, start, node, depth): every node within ``hops`` calls of each seed.
 
     One join per level; only nodes not seen before go on, so cycles end by themselves.
+    ``edges`` is a table: every level reads it, no copy is written.
     """
-    step = cut_lineage(edges.select("repo", F.col("caller").alias("node"),
-                                    F.col("callee").alias("next")))
+    step = edges.select("repo", F.col("caller").alias("node"), F.col("callee").alias("next"))
     seen = cut_lineage(seeds.select("repo", F.col("qualname").alias("start"),
                                     F.col("qualname").alias("node"), F.lit(0).alias("depth")))
     frontier = seen
@@ -98,9 +98,9 @@ def phase_layers(notes: DataFrame, edges: DataFrame, max_phases: int = fixed.MAX
                  width: int = 4) -> DataFrame:
     """(repo, number, place, qualname): layers of calls from the flow's start.
 
-    A callee counts as seen even when its layer had no room for it.
+    A callee counts as seen even when its layer had no room for it. ``edges`` is a table, as in ``reach``.
     """
-    step = cut_lineage(edges.select("repo", F.col("caller").alias("qualname"), "callee"))
+    step = edges.select("repo", F.col("caller").alias("qualname"), "callee")
     described = notes.select("repo", "qualname", F.lit(0).alias("undescribed"))
     layer = cut_lineage(flow_start(notes, edges, max_phases)
                         .select("repo", F.lit(1).alias("number"), F.lit(1).alias("place"),
