@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import as_table
 
+#: Above every number of a node.
+_NONE = 2 ** 63 - 1
+
 
 def _trimmed(arcs: DataFrame) -> DataFrame:
     """(repo, a, b) without arcs that lie on no cycle because nothing leads to them or away from them.
@@ -43,12 +46,16 @@ def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(repo, qualname, component) for definitions on a cycle of two or more; component: the first by name.
 
-    What no cycle can hold is trimmed away. Then, round by round, every node takes the smallest name that leads to
-    it; nodes of one label from which that name's node can be reached backwards are its component. They leave and
+    What no cycle can hold is trimmed away. Then, round by round, every node takes the smallest number that leads to
+    it; nodes of one label from which that number's node can be reached backwards are its component. They leave and
     what is left is trimmed again, so each round settles one component for each label, wherever it lies.
     """
-    arcs = _trimmed(as_table(edges.where("caller <> callee").select(
-        "repo", F.col("caller").alias("a"), F.col("callee").alias("b")).distinct()))
+    # Rounds work on numbers; names come back at the end. The table holds them, so they are the same in every round.
+    calls = edges.where("caller <> callee").select("repo", "caller", "callee").distinct()
+    named = as_table(calls.select("repo", F.explode(F.array("caller", "callee")).alias("qualname")).distinct()
+                     .withColumn("node", F.monotonically_increasing_id()))
+    a, b = (named.select("repo", F.col("qualname").alias(end), F.col("node").alias(x)) for end, x in (("caller", "a"), ("callee", "b")))
+    arcs = _trimmed(as_table(calls.join(a, ["repo", "caller"]).join(b, ["repo", "callee"]).select("repo", "a", "b")))
     found = None
     while not arcs.isEmpty():
         nodes = arcs.select("repo", F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -58,18 +65,18 @@ def cycles(edges: DataFrame) -> DataFrame:
                           .select("repo", "a", "b", F.col("of_a").alias("label")))
         # Backwards from each label's node: the smallest of a constant reaches what leads to it.
         start = forward.select("repo", "node", F.when(F.col("node") == F.col("label"), F.col("label"))
-                               .otherwise(F.lit("\U0010ffff")).alias("label"))
+                               .otherwise(F.lit(_NONE)).alias("label"))
         back = _spread(start, within.select("repo", F.col("b").alias("a"), F.col("a").alias("b")))
-        settled = as_table(back.where(F.col("label") != "\U0010ffff").select("repo", F.col("node").alias("qualname"),
-                                                                         F.col("label").alias("component")))
+        settled = as_table(back.where(F.col("label") != _NONE))
         found = settled if found is None else found.unionByName(settled)
-        gone = settled.select("repo", F.col("qualname").alias("node"))
+        gone = settled.select("repo", "node")
         arcs = _trimmed(as_table(arcs.join(gone.withColumnRenamed("node", "a"), ["repo", "a"], "left_anti")
                                  .join(gone.withColumnRenamed("node", "b"), ["repo", "b"], "left_anti")))
     if found is None:
         return edges.select("repo", F.col("caller").alias("qualname"), F.col("caller").alias("component")).where("false")
-    size = found.groupBy("repo", "component").agg(F.count("*").alias("n")).where("n > 1")
-    return found.join(size, ["repo", "component"], "left_semi").select("repo", "qualname", "component")
+    found = found.join(named, ["repo", "node"])
+    first = found.groupBy("repo", "label").agg(F.count("*").alias("n"), F.min("qualname").alias("component")).where("n > 1")
+    return found.join(first, ["repo", "label"]).select("repo", "qualname", "component")
 
 
 def condensed(edges: DataFrame, on_cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
