@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, text
 from ..schemas import CLAIM_REPLY, COMPONENT_REPLY, PURPOSE_REPLY
-from .callgraph import callers, short_names
+from .callgraph import callers, of_nodes, short_names
 
 
 class Completer(Protocol):
@@ -131,7 +131,7 @@ def describe_symbols(notes: DataFrame, symbols: DataFrame, edges: DataFrame,
     A source that had to be cut caps the confidence at medium; a reply that is
     no valid JSON leaves a marked note instead of stopping the run.
     """
-    inn = callers(edges, 6).withColumnRenamed("names", "called_by")
+    inn = callers(of_nodes(edges, "callee", notes), 6).withColumnRenamed("names", "called_by")
     j = (notes.join(symbols.select("repo", "qualname", "source", "docstring"), ["repo", "qualname"])
          .join(inn, ["repo", "qualname"], "left"))
     long = F.length("source") > fixed.DESCRIBE_SOURCE_CHARS

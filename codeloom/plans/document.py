@@ -80,11 +80,12 @@ def stage_analyze(st: State, subdir: str = "") -> None:
 
 def stage_map(st: State, completer: Completer, top: int) -> None:
     a = st.analysis
-    ranked = cut_lineage(ranking.rank_symbols(a.symbols, a.edges, a.exports, top))
+    scored = cut_lineage(ranking.narrow_scores(a.symbols, a.edges, a.exports)
+                         .drop("name", "docstring", "owner_class", "line_count"))
+    ranked = cut_lineage(ranking.as_notes(ranking.top_scored(scored, top), a.edges))
     st.notes = cut_lineage(generation.describe_symbols(ranked, a.symbols, a.edges, completer))
     st.components = cut_lineage(
         generation.describe_components(ranking.components(st.notes), completer, st.notes))
-    scored = ranking.scored_symbols(a.symbols.drop("source", "calls"), a.edges, a.exports)
     st.entry = cut_lineage(ranking.entry_points(scored).select("repo", "qualname", "rank"))
 
 
@@ -98,11 +99,11 @@ def review_issues(sections: DataFrame, a: symbols.Analysis,
                   completer: Completer) -> tuple[DataFrame, DataFrame]:
     """(issues, claims) of all sections: invented names first, then failed claims in order."""
     found = cut_lineage(generation.extract_claims(sections, completer))
-    known = reviews.known_names(a.symbols, a.attributes)
+    known = reviews.known_names(a.symbols, a.attributes, reviews.mentioned(sections))
     names = reviews.name_issues(sections, known).select(
         "repo", "key", ordinal(F.lit(0).alias("pass"), F.lit(0).alias("at"), "subject").alias("ord"),
         "kind", "severity", "subject", "detail", F.lit("").alias("quote"))
-    judged = cut_lineage(claims.judge_claims(found, a.symbols, a.edges))
+    judged = cut_lineage(claims.judge_claims(found, cut_lineage(claims.named_symbols(found, a.symbols)), a.edges))
     failed = claims.explained(judged, a.symbols, a.edges).select(
         "repo", F.col("section_key").alias("key"),
         ordinal(F.lit(1).alias("pass"), F.col("ord").alias("at"), "subject").alias("ord"),
