@@ -31,6 +31,8 @@ BUDGET = 4
 SAMPLE, COMMON = 16, 200_000
 #: Pairs for each row dealt out that may meet at once, and turns before they do in any case.
 FULL, TURNS = 16, 2
+#: Texts worked on before their rows are sent on.
+PART = 512
 _HELD, _SLACK = 64, 1e-9
 
 
@@ -48,9 +50,16 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def _parts(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of a few texts, so that what a worker makes of one stays small."""
+    for batch in incoming:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def _keys(words: int):
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
+        for batch in _parts(incoming):
             sets = (shingles(v.as_buffer().to_pybytes(), words) for v in batch.column(1))
             found = [(xxhash.xxh64_intdigest(s.tobytes()), len(s)) for s in sets]
             key = np.array([k for k, _ in found], np.uint64).view(np.int64)
@@ -76,7 +85,7 @@ def _all_shingles(words: int):
 def _first(words: int, similarity: float, common: np.ndarray, often: np.ndarray):
     """(h, key, n, at): the shingles of each text of which a similar text must hold one, rare ones first."""
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
+        for batch in _parts(incoming):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for key, v in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
                 h = _of_packed(v, words)

@@ -88,6 +88,11 @@ class WordEncoder:
             known.update((c, v) for c, v in found.items() if len(c) < 64)
         return out
 
+    def forget(self) -> None:
+        """Empty the caches; a worker outlives its task and would hold them beside other work."""
+        self.chunks.clear()
+        self.words.clear()
+
 
 @lru_cache(maxsize=4)
 def encoder(file: str) -> WordEncoder:
@@ -140,10 +145,12 @@ def plan(lengths: list[int], room: int) -> tuple[list[int], list[int], list[int]
     return bins, offsets, filled
 
 
-def _pack_windows(file: str, room: int, end_id: int):
+def _pack_windows(file: str, room: int, end_id: int, keep: bool = True):
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(file)
+
         def rows() -> Iterator[tuple]:
-            encode, end = encoder(file).ids, end_id.to_bytes(4, "little")
+            encode, end = known.ids, end_id.to_bytes(4, "little")
             first, held, size = TaskContext.get().partitionId() << 36, [], 0
 
             def flush() -> Iterator[tuple]:
@@ -164,7 +171,12 @@ def _pack_windows(file: str, room: int, end_id: int):
                             yield from flush()
                             held, size = [], 0
             yield from flush()
-        yield from batches(_SCHEMA, rows())
+        try:
+            yield from batches(_SCHEMA, rows())
+        finally:
+            if not keep:
+                known.forget()
+                pa.default_memory_pool().release_unused()
     return run
 
 
@@ -182,19 +194,19 @@ def _join_bins(room: int):
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 0,
-                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                   doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset.
 
     A document is its ids and end_id; null and empty texts are end_id alone. Only documents longer than
     `room` are cut. Places in a sequence have no gaps. Repeated rows are packed each; a null doc_id is
-    carried along. Other columns are not read.
+    carried along. Other columns are not read. Without keep, workers forget the words of a task at its end.
 
     A task packs a window of pieces at a time by the sum-of-squares rule. The sequences that a window leaves
     unfilled, a small share, are packed once more as items of their own in large groups; only their
     pieces move, so the ids of all others are never shuffled.
     """
     slim = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), text_or_empty(docs[f"`{text}`"]).alias("text"))
-    pieces = as_table(slim.mapInArrow(_pack_windows(tokenizer, room, end_id), _DDL))
+    pieces = as_table(slim.mapInArrow(_pack_windows(tokenizer, room, end_id, keep), _DDL))
     left = pieces.where(F.col("filled") < room)
     unfilled = left.groupBy("sequence_id").agg(F.first("filled").alias("filled"))
     unfilled = as_table(unfilled)

@@ -49,7 +49,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their places in sequences."""
-    return pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", keep=False)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -83,3 +83,14 @@ def test_fingerprints_propose_pairs_that_are_compared_in_full(spark):
     assert got and got <= {(0, 1), (0, 2), (1, 2)}
     nobody = spark.createDataFrame([], "key bigint, n int, content binary")
     assert nc.proposed_pairs(nobody).collect() == []
+
+
+def test_parts_of_a_batch_give_the_same_rows(spark, monkeypatch):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([f"a b c d e f g {i}".encode() for i in range(7)])],
+                                       ["doc_id", "content"])
+    whole = pa.Table.from_batches(nc._keys(5)([batch]))
+    monkeypatch.setattr(nc, "PART", 3)
+    parts = list(nc._keys(5)([batch]))
+    assert [p.num_rows for p in parts] == [3, 3, 1]
+    assert pa.Table.from_batches(parts).equals(whole)

@@ -101,3 +101,17 @@ def test_documents(spark, monkeypatch, window):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
+
+
+def test_a_task_leaves_no_cache_behind(monkeypatch):
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", "other words"])], ["doc_id", "text"])
+    out = list(packing._pack_windows(FILE, 64, 0, keep=False)([batch]))
+    assert sum(b.num_rows for b in out) == 2
+    assert not packing.encoder(FILE).chunks and not packing.encoder(FILE).words
