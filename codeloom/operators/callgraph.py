@@ -177,6 +177,14 @@ def self_owners(symbols: DataFrame) -> DataFrame:
             .where("answered and not all_answer").select("repo", "owner_class"))
 
 
+def calls_looked_up(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Sites with matches and match of their name, null where nothing carries it; calls of builtins fall out.
+
+    What resolve_calls finds without calls on self, also for sites that are not resolved.
+    """
+    return sites.where(~F.col("simple").isin(*fixed.BUILTINS)).join(name_index(symbols), ["repo", "simple"], "left")
+
+
 def calls_by_name(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """Sites with their callee where a single definition carries the name; the others fall out, in one join.
 
