@@ -33,3 +33,11 @@ def test_names_of_claims_are_read_in_compiled_code(spark):
             "1": ("f", "m.g", None), "2": ("f", None, "m.py"), "3": ("m.f", None, None), "4": (None, "f", None)}
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_names_of_all_claims_are_not_sent_to_the_driver(spark, tmp_path):
+    spark.createDataFrame([(k, k % 7) for k in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    symbols = spark.createDataFrame([("c1", "normalize")], "repo string, qualname string")
+    out = claims._resolved(shop_queries.shop_claims(spark, str(tmp_path)), symbols)
+    assert "LeftOuter, BuildRight" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("skey is not null").count() == 2 * len([k for k in range(40) if k % 7 == 1])
